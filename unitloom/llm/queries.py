@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing, token_records
 from .common import documents
 from .secret_scan import secret_report
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.token_records(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
+    "op7_packing": op7_packing,
+    "op9_token_records": op9_token_records,
 }
