@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_records
+from . import fingerprints, packing, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -29,8 +29,19 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
+    return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op7_packing": op7_packing,
+    "op8_url_filters": op8_url_filters,
     "op9_token_records": op9_token_records,
 }
