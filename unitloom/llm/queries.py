@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, token_records, url_filters
+from . import fingerprints, language_id, packing, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -29,6 +29,10 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op7_packing": op7_packing,
