@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, packing, token_records, url_filters
+from . import decontamination, fingerprints, language_id, packing, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -21,6 +21,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_token_records": op9_token_records,
