@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, packing, token_records, url_filters
+from . import decontamination, fingerprints, language_id, packing, suffix_dedup, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -46,6 +46,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_fingerprints": op4_fingerprints,
@@ -54,4 +58,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_token_records": op9_token_records,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
