@@ -20,12 +20,13 @@ from array import array
 import numpy as np
 
 #: Chunks in each of a worker's two generations of cache. Bounds memory alone, never a result.
-CACHE = 300_000
+CACHE = 700_000
 #: Chunks longer than this are not kept.
 LONGEST = 48
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]++[,.]?+[ \n])*+[A-Za-zÀ-ÖØ-öø-ÿ]++[,.]?+")
+_SPACED_BREAK = re.compile(r"\s\n|\n\s")
 _BREAK = "\x1f"
 
 
@@ -80,9 +81,11 @@ class Encoder(dict):
             return b"".join(map(self.__getitem__, self.words(text)))
         if _WHOLE.search(text):
             return self.whole(text)
-        if self.byte_level or "\n" not in text:
+        if "\n" not in text or self.byte_level and _SPACED_BREAK.search(text):
             return b"".join(map(self.__getitem__, self.chunks(text)))
-        return b"".join([b"".join(map(self.__getitem__, self.words(x) if _PLAIN.fullmatch(x) else x.split())) for x in text.split("\n")])
+        # line by line: a line break between other characters is a piece of its own, or is dropped
+        lines = [b"".join(map(self.__getitem__, (self.words if _PLAIN.fullmatch(x) else self.chunks)(x))) for x in text.split("\n")]
+        return (self["\n"] if self.byte_level else b"").join(lines)
 
 
 _encoders: dict[str, Encoder] = {}
