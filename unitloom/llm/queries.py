@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, packing, suffix_dedup, token_records, url_filters
+from . import decontamination, fingerprints, language_id, ngram_join, packing, suffix_dedup, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -33,6 +33,10 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
