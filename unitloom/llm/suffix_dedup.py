@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_parts
+from .packed import binary, pack, rows as batch, starts_of, unpack
 from .two_stage_sort import joined, neighbours_prefix, suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -111,30 +111,6 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return who, at, h
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Stretches of values (from each start to the next) as a binary column."""
-    width = values.dtype.itemsize
-    offsets = (np.r_[starts, len(values)] * width).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
-
-
-def _unpack(data: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
-    for d in dtypes:
-        kind = np.dtype(d)
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * kind.itemsize
-    return out
-
-
 def shared_anchors(base: DataFrame, n: int) -> DataFrame:
     """(row, hashes): for each row the anchors (the upper halves of their hashes) that more than one document has.
 
@@ -148,64 +124,90 @@ def shared_anchors(base: DataFrame, n: int) -> DataFrame:
             o = np.lexsort((docs[who], h))
             who, h = who[o], h[o]
             doc = docs[who]
-            first = _starts(h)
+            first = starts_of(h)
             size = np.diff(np.r_[first, len(h)])
             common = np.repeat(doc[first] != doc[first + size - 1], size) if len(h) else np.zeros(0, bool)
             bucket = (h % np.uint64(n)).astype(np.int64)
             top = (h >> np.uint64(32)).astype(np.uint32)
-            out: list[tuple] = []
             # found here: straight to the row
             c = np.flatnonzero(common)
-            c = c[np.lexsort((top[c], rows[who[c]]))]
-            r = rows[who[c]]
-            s = _starts(r)
-            if len(s):
-                yield _side(np.full(len(s), 1), (r[s] % n).astype(np.int64), np.full(len(s), -1), _binary(r[s], np.arange(len(s))), _binary(top[c], s))
+            yield from _to_rows(rows[who[c]], top[c], n)
             # to the buckets: common ones once, with no row; single ones with theirs
             for kind, pick in ((2, first[common[first]] if len(h) else first), (0, np.flatnonzero(~common))):
                 pick = pick[np.argsort(bucket[pick], kind="stable")]
-                s = _starts(bucket[pick])
+                s = starts_of(bucket[pick])
+                ends = np.r_[s[1:], len(pick)].astype(np.int64)
+                data = []
+                for a, e in zip(s, ends, strict=True):
+                    p = pick[a:e]
+                    if kind == 0:  # by row: runs of one row, then its anchors
+                        p = p[np.argsort(who[p], kind="stable")]
+                        run = starts_of(who[p])
+                        data.append(len(run).to_bytes(4, "little") + rows[who[p][run]].tobytes() + np.diff(np.r_[run, len(p)]).astype(np.uint32).tobytes() + top[p].tobytes())
+                    else:
+                        data.append(top[p].tobytes())
                 if len(s):
-                    keys = rows[who[pick]] if kind == 0 else np.zeros(len(pick), np.int64)
-                    yield _side(np.full(len(s), kind), bucket[pick][s], np.diff(np.r_[s, len(pick)]), _binary(keys, s), _binary(top[pick], s))
-
-    def _side(kind, bucket, size, keys: pa.Array, tops: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), keys, tops], names=["kind", "bucket", "keys", "tops"])
+                    yield batch(_DEALT, _DEALT_KINDS, np.full(len(s), kind, np.int32), bucket[pick][s].astype(np.int32), (ends - s).astype(np.int32), data)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tops, marks = [], [], []
         for b in batches:
-            for kind, k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if kind == 1:
-                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.frombuffer(k, np.int64)), "hashes": pa.array([t], pa.binary())})
-                elif kind == 2:
+            mine = b.column(0).to_numpy()
+            yield b.filter(pa.array(mine == 1))
+            for kind, size, t in zip(mine.tolist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if kind == 2:
                     marks.append(np.frombuffer(t, np.uint32))
-                else:
-                    keys.append(np.frombuffer(k, np.int64))
-                    tops.append(np.frombuffer(t, np.uint32))
+                elif kind == 0:
+                    runs = int.from_bytes(t[:4], "little")
+                    keys.append(np.repeat(np.frombuffer(t, np.int64, runs, 4), np.frombuffer(t, np.uint32, runs, 4 + 8 * runs)))
+                    tops.append(np.frombuffer(t, np.uint32, size, 4 + 12 * runs))
         if not keys:
             return
         key, top = np.concatenate(keys), np.concatenate(tops)
         del keys, tops
         o = np.argsort(top, kind="stable")
         key, top = key[o], top[o]
-        first = _starts(top)
+        first = starts_of(top)
         size = np.diff(np.r_[first, len(top)])
         shared = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)  # of more than one row
         if marks:
             shared |= np.isin(top[first], np.unique(np.concatenate(marks)))
         keep = np.repeat(shared, size)
-        key, top = key[keep], top[keep]
+        yield from _to_rows(key[keep], top[keep], n)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(data, size, "i8", "u4") for b in batches for size, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        if not parts:
+            return
+        key, top = (np.concatenate(c) for c in zip(*parts, strict=True))
         o = np.argsort(key, kind="stable")
         key, top = key[o], top[o]
-        s = _starts(key)
+        s = starts_of(key)
         for i in range(0, len(s), 20_000):
             part = s[i : i + 20_000]
             upto = s[i + 20_000] if i + 20_000 < len(s) else len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), _binary(top[part[0] : upto], part - part[0])], names=["row", "hashes"])
+            yield batch(["row", "hashes"], [pa.int64(), pa.binary()], key[part], binary(top[part[0] : upto], part - part[0]))
+
+    schema = "kind int, bucket int, size int, data binary"
+    to = F.pmod("bucket", F.lit(n)).cast("int")
+    dealt = base.select("row", "doc", "text").mapInArrow(deal, schema).repartitionById(n, to).mapInArrow(judge, schema)
+    return dealt.repartitionById(n, to).mapInArrow(gather, "row long, hashes binary")
+
+
+_DEALT = ["kind", "bucket", "size", "data"]
+_DEALT_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
-    dealt = base.select("row", "doc", "text").mapInArrow(deal, "kind int, bucket int, keys binary, tops binary")
-    return dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(judge, "row long, hashes binary")
+
+def _to_rows(key: np.ndarray, top: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """(row, anchor) pairs packed by the partition that gathers the row."""
+    if not len(key):
+        return
+    target = key % n
+    o = np.lexsort((top, key, target))
+    key, top, target = key[o], top[o], target[o]
+    s = starts_of(target)
+    ends = np.r_[s[1:], len(key)]
+    yield batch(_DEALT, _DEALT_KINDS, np.ones(len(s), np.int32), target[s].astype(np.int32), (ends - s).astype(np.int32), [pack(key[a:e], top[a:e]) for a, e in zip(s, ends, strict=True)])
 
 
 def _surroundings(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,6 +221,22 @@ def _surroundings(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.n
     return out
 
 
+def _packed_lines(doc: np.ndarray, row: np.ndarray, at: np.ndarray, lines: np.ndarray) -> bytes:
+    run = starts_of(row)
+    size = np.diff(np.r_[run, len(row)])
+    step = np.diff(at, prepend=0).astype(np.int32)
+    return len(run).to_bytes(4, "little") + pack(row[run], doc[run], size.astype(np.uint32), step, lines[:, : WIDE + 2])
+
+
+def _unpacked_lines(data: bytes, n: int) -> tuple[np.ndarray, ...]:
+    runs = int.from_bytes(data[:4], "little")
+    raw = unpack(data[4:], 1, f"({runs},)i8", f"({runs},)i8", f"({runs},)u4", f"({n},)i4", f"({n},{WIDE + 2})u1")
+    row, doc, size, step, part = (x[0] for x in raw)
+    lines = np.zeros((n, ROW), np.uint8)
+    lines[:, : WIDE + 2] = part
+    return np.repeat(doc, size), np.repeat(row, size), np.cumsum(step.astype(np.int64)), lines
+
+
 def _line_hash(lines: np.ndarray) -> np.ndarray:
     words = lines.view(np.uint64)
     h = np.zeros(len(lines), np.uint64)
@@ -242,14 +260,14 @@ def _spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
         return None
     o = np.lexsort((start, row))
     row, start, end = row[o], start[o], end[o]
-    first = _starts(row)
+    first = starts_of(row)
     number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)])).astype(np.int64)
     reach = np.maximum.accumulate(end + (number << 40)) - (number << 40)  # never carried over from the row before
     new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1])]
     pairs = np.stack([start[new], reach[np.r_[new[1:], True]]], 1).astype(np.uint32)
     row = row[new]
-    s = _starts(row)
-    return pa.RecordBatch.from_arrays([pa.array(row[s]), _binary(pairs.view(np.uint64).ravel(), s)], names=["row", "spans"])
+    s = starts_of(row)
+    return pa.RecordBatch.from_arrays([pa.array(row[s]), binary(pairs.view(np.uint64).ravel(), s)], names=["row", "spans"])
 
 
 def covered_strings(lines: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,12 +328,12 @@ def covered(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
             spans = _spans(row[c], at[c] - lines[c, WIDE].astype(np.int64), at[c] + lines[c, WIDE + 1].astype(np.int64)) if len(c) else None
             m = o[~later]
             bucket = (h[m] % np.uint64(n)).astype(np.int64)
-            m = m[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            s = _starts(bucket)
+            by = np.lexsort((at[m], who[m], bucket))  # by text within a bucket: what is alike lies together and packs well
+            m, bucket = m[by], bucket[by]
+            s = starts_of(bucket)
             ends = np.r_[s[1:], len(m)]
             parts = [m[a:b] for a, b in zip(s, ends, strict=True)]
-            yield from pack(bucket[s].tolist(), [len(p) for p in parts], [_pack(h[p], doc[p], row[p], at[p].astype(np.uint32), lines[p]) for p in parts], spans)
+            yield from pack(bucket[s].tolist(), [len(p) for p in parts], [_packed_lines(doc[p], row[p], at[p], lines[p]) for p in parts], spans)
 
         for b in batches:
             group, held = [], 0
@@ -344,7 +362,7 @@ def covered(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
             rows, spans = [], []
             for size, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if size:
-                    parts.append(_unpack(data, size, "u8", "i8", "i8", "u4", f"({ROW},)u1"))
+                    parts.append(_unpacked_lines(data, size))
                 else:
                     rows.append(int.from_bytes(data[:8], "little", signed=True))
                     spans.append(data[8:])
@@ -352,9 +370,9 @@ def covered(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "spans": pa.array(spans, pa.binary())})
         if not parts:
             return
-        h, doc, row, at, lines = (np.concatenate(c) for c in zip(*parts, strict=True))
+        doc, row, at, lines = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
-        at = at.astype(np.int64)
+        h = np.concatenate([gram_hashes(np.ascontiguousarray(lines[i : i + 50_000, LEFT:LENGTH]).reshape(-1))[::GRAM] for i in range(0, len(lines), 50_000)])
         o, first = _same_lines(h, lines, doc)
         count = np.diff(np.r_[first, len(o)])
         later = doc[o] > np.repeat(doc[o[first]], count)
@@ -363,7 +381,7 @@ def covered(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
             yield out
         # one line for each group; an anchor with one line alone has nothing to be compared with
         head = o[first]
-        starts = _starts(h[head])
+        starts = starts_of(h[head])
         size = np.diff(np.r_[starts, len(head)])
         several = np.flatnonzero(np.repeat(size > 1, size))
         anchor = np.repeat(np.cumsum(size > 1), size)[several]
