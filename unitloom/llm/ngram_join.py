@@ -7,8 +7,9 @@
    share at least l shingles of their prefixes. Each class picks its own l by estimated cost: a longer prefix
    meets more postings, but must match more often before a pair is verified. A pair needs the smaller of its two l.
 4. Pairs that match often enough are verified on all their shared shingles.
-5. Links give components. Posting lists beyond LIST members first link neighbours and a few leaders; when
-   components are known, only their pairs across components are left to be verified.
+5. Links give components. Posting lists beyond LIST members first link neighbours and a few leaders. Lists with the same
+   first leader then form a cluster; what lies across components in it is compared block by block, so
+   that a large group of near copies is never spread into its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ N, PERCENT = 5, 80  # words of a shingle; similarity
 #: Longest extension of a prefix; a verified shingle costs so much of a posting met.
 MOST_MATCHES, VERIFY = 6, 0.25
 #: A posting list up to so long gives all its pairs at once; a longer one first NEAR neighbours and LEADERS, then what components leave.
-LIST, NEAR, LEADERS = 40, 3, 4
+LIST, NEAR, LEADERS = 8, 1, 2
+#: Members of a block, about; columns of shingles compared at once.
+BLOCK, COLUMNS = 512, 8192
 #: Bytes of text worked on at once: bounds memory alone.
 CHUNK = 4_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -256,98 +259,155 @@ def _pairs_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, group[a]
 
 
-def matches(dealt: DataFrame, labels: DataFrame | None, n: int, percent: int = PERCENT) -> DataFrame:
-    """Step 4's candidates: (a, b, met, need), pairs that met in a bucket, a < b, within the sizes that can be similar.
+def _read_postings(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """(shingle, key, set size, l) of a bucket, lists one after another, members by set size, and each list's first and length."""
+    parts = [unpack(data, size, "u8", "i8", "u4", "u1") for b in batches for size, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    if not parts:
+        return None
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    o = np.lexsort((cols[1], cols[2], cols[0]))
+    code, key, size, l = (c[o] for c in cols)
+    first = starts_of(code)
+    return key, size.astype(np.int64), l, first, np.diff(np.r_[first, len(code)])
 
-    Without labels: all pairs of short lists, neighbours and leaders of long ones. With labels (key, component): of long lists the pairs across components.
-    """
-    first_round = labels is None
+
+def _leaders(key: np.ndarray, many: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.argsort(_mixed(key.view(np.uint64)))[:many]
+
+
+def matches(dealt: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+    """Step 4's candidates (a, b), a < b, within the sizes that can be similar: of short lists all pairs, of long ones neighbours and leaders."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            for size, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts.append(unpack(data, size, "u8", "i8", "u4", "u1", *([] if first_round else ["i8"])))
-        if not parts:
+        got = _read_postings(batches)
+        if got is None:
             return
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        del parts
-        o = np.lexsort((cols[1], cols[2], cols[0]))  # lists by shingle, members by size
-        code, key, size, l = (c[o] for c in cols[:4])
-        group = cols[4][o] if not first_round else None
-        size = size.astype(np.int64)
-        first = starts_of(code)
-        many = np.diff(np.r_[first, len(code)])
-
-        def close_sizes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            return a[ok], b[ok]
-
+        key, size, l, first, many = got
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        found = 0
+
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            held.append((a[ok], b[ok]))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             a, b = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-            need = np.minimum(l[a], l[b])
+            x, y, need = np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), np.minimum(l[a], l[b])
             o = np.lexsort((y, x))
             x, y, need = x[o], y[o], need[o]
-            s = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            s = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
             yield rows(["a", "b", "met", "need"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()], x[s], y[s], np.diff(np.r_[s, len(x)]).astype(np.int32), need[s].astype(np.int32))
 
-        def take(a: np.ndarray, b: np.ndarray) -> int:
-            held.append(close_sizes(a, b))
-            return len(held[-1][0])
-
-        if first_round:
-            short = (many > 1) & (many <= LIST)
-            g, m = first[short], many[short]
-            step = 50_000
-            for i in range(0, len(g), step):
-                a, b, which = _pairs_of(m[i : i + step])
-                shift = g[i : i + step] - (np.cumsum(m[i : i + step]) - m[i : i + step])
-                found += take(a + shift[which], b + shift[which])
-                if found > 2_000_000:
-                    yield from flush()
-                    found = 0
+        short = (many > 1) & (many <= LIST)
+        g, m = first[short], many[short]
+        for i in range(0, len(g), 100_000):
+            a, b, which = _pairs_of(m[i : i + 100_000])
+            shift = g[i : i + 100_000] - (np.cumsum(m[i : i + 100_000]) - m[i : i + 100_000])
+            take(a + shift[which], b + shift[which])
         for f, m in zip(first[many > LIST], many[many > LIST], strict=True):
             at = np.arange(f, f + m)
-            if first_round:
-                for d in range(1, NEAR + 1):
-                    found += take(at[:-d], at[d:])
-                leaders = at[np.argsort(_mixed(key[at].view(np.uint64)))[:LEADERS]]
-                for x in leaders:
-                    others = at[at != x]
-                    found += take(np.full(len(others), x), others)
-            else:
-                by = at[np.argsort(group[at], kind="stable")]
-                g = group[by]
-                s = starts_of(g)
-                if len(s) < 2:
-                    continue
-                most = np.diff(np.r_[s, len(by)])
-                big = int(most.argmax())
-                rest = np.delete(by, np.arange(s[big], s[big] + most[big]))
-                for x in rest:  # each member outside the largest component against all of other components, by size
-                    lo, hi = np.searchsorted(size[at], [-(-percent * size[x] // 100), 100 * size[x] // percent + 1])
-                    y = at[lo:hi]
-                    y = y[(group[y] != group[x]) & ((group[y] == g[s[big]]) | (key[y] > key[x]))]
-                    found += take(np.full(len(y), x), y)
-                    if found > 2_000_000:
-                        yield from flush()
-                        found = 0
-            if found > 2_000_000:
-                yield from flush()
-                found = 0
+            for d in range(1, NEAR + 1):
+                take(at[:-d], at[d:])
+            for x in at[_leaders(key[at], LEADERS)]:
+                others = at[at != x]
+                take(np.full(len(others), x), others)
         yield from flush()
 
     met = dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(work, "a long, b long, met int, need int")
+    # a pair of a long list may have met more often than was counted here: clusters compare all of those
     return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
 
 
+def clusters(dealt: DataFrame, n: int) -> DataFrame:
+    """(leader, key): members of long lists under the first leader of each list."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _read_postings(batches)
+        if got is None:
+            return
+        key, _, _, first, many = got
+        leader, member = [], []
+        for f, m in zip(first[many > LIST], many[many > LIST], strict=True):
+            k = key[f : f + m]
+            leader.append(np.full(m, k[_leaders(k, 1)[0]]))
+            member.append(k)
+        if leader:
+            both = np.unique(np.stack([np.concatenate(leader), np.concatenate(member)]), axis=1)
+            yield rows(["leader", "key"], [pa.int64(), pa.int64()], both[0], both[1])
+
+    return dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(work, "leader long, key long").distinct()
+
+
+def similar(sizes: tuple[np.ndarray, np.ndarray], codes: tuple[list[np.ndarray], list[np.ndarray]], percent: int) -> np.ndarray:
+    """Which sets of one block are similar to which of another: counts of common shingles by products of their incidence matrices."""
+    flat = [np.concatenate(c) for c in codes]
+    both = np.intersect1d(*flat)
+    rowsof = [np.repeat(np.arange(len(c)), [len(x) for x in c]) for c in codes]
+    at = [np.searchsorted(both, f) for f in flat]
+    hit = [both[np.minimum(a, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+    common = np.zeros((len(codes[0]), len(codes[1])), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        m = []
+        for r, a, h, c in zip(rowsof, at, hit, codes, strict=True):
+            k = h & (a >= lo) & (a < lo + COLUMNS)
+            d = np.zeros((len(c), min(COLUMNS, len(both) - lo)), np.float32)
+            d[r[k], a[k] - lo] = 1
+            m.append(d)
+        common += m[0] @ m[1].T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between components that the first round left apart: enough of them to join all that are similar.
+
+    A cluster of one component alone is done. Else a component of some size has blocks of its own, small ones share blocks,
+    and blocks meet in pairs, but not those of the same component.
+    """
+    m = members.join(labels, members["key"] == labels["node"], "left").select("leader", "key", F.coalesce("component", "key").alias("component"))
+    open_ = m.groupBy("leader").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("leader")
+    m = stored(m.join(open_, "leader"), "members")
+    own = m.groupBy("leader", "component").agg(F.count("*").alias("c")).select("leader", "component", F.when(F.col("c") > BLOCK // 4, F.col("component")).alias("part"))
+    m = m.join(own, ["leader", "component"])
+    many = m.groupBy("leader", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select(F.col("leader").alias("l2"), F.col("part").alias("p2"), "blocks")
+    m = m.join(many, (m["leader"] == many["l2"]) & m["part"].eqNullSafe(many["p2"]))
+    m = stored(m.select("leader", "key", "component", "part", F.xxhash64("leader", "part", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "blocks")
+    block = m.groupBy("leader", "part", "block").agg(F.lit(1).alias("one"))
+    x, y = block.select("leader", F.col("part").alias("pa"), F.col("block").alias("ba")), block.select("leader", F.col("part").alias("pb"), F.col("block").alias("bb"))
+    meet = x.join(y, "leader").where((F.col("ba") <= F.col("bb")) & (F.col("pa").isNull() | F.col("pb").isNull() | (F.col("pa") != F.col("pb")))).select("leader", "ba", "bb")
+    first = m.join(meet, (m["leader"] == meet["leader"]) & (m["block"] == meet["ba"])).select("key", "component", "ba", "bb", F.lit(0).alias("side"))
+    second = m.join(meet, (m["leader"] == meet["leader"]) & (m["block"] == meet["bb"]) & (meet["ba"] != meet["bb"])).select("key", "component", "ba", "bb", F.lit(1).alias("side"))
+    sent = first.unionByName(second).join(sets.select("key", "size", "many", "codes"), "key")
+
+    def compare(table):
+        side = table.column("side").to_numpy()
+        key, comp, size, many = (table.column(c).to_numpy() for c in ("key", "component", "size", "many"))
+        codes = [unpack(d, k, "u8")[0] for d, k in zip(table.column("codes").to_pylist(), many.tolist(), strict=True)]
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if (side == 1).any() else one
+        out: list[tuple[int, int]] = []
+        if len(one) and len(two):
+            ok = similar((size[one], size[two]), ([codes[i] for i in one], [codes[i] for i in two]), percent) & (comp[one][:, None] != comp[two][None, :])
+            top: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while top.get(c, c) != c:
+                    c = top[c]
+                return c
+
+            for i, j in zip(*np.nonzero(ok), strict=True):  # those that join what was apart
+                p, q = find(int(comp[one[i]])), find(int(comp[two[j]]))
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    out.append((int(key[one[i]]), int(key[two[j]])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return sent.groupBy("ba", "bb").applyInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes with 100 |a and b| >= percent |a or b|."""
 
@@ -388,7 +448,7 @@ def _sets(made: DataFrame, n: int) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, set_size, key), (links: a, b between classes), (labels: key, component of keys) of all documents."""
+    """(members: doc_id, set_size, key), (links: a, b between classes, enough for all components), (labels: key, component of keys) of all documents."""
     n = n_parts(docs.sparkSession)
     made = stored(counted(docs, n, id_col, text_col), "shingles")
     members = _members(made)
@@ -397,67 +457,28 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = classes.join(_sets(made, n), "key").where(F.col("size") - F.col("many") <= F.col("size") - F.ceil(F.col("size") * percent / 100))
     sets = stored(sets, "sets")
     dealt = stored(postings(sets, n, percent), "postings")
-    links = stored(verified(matches(dealt, None, n, percent), sets, percent), "links")
+    links = stored(verified(matches(dealt, n, percent), sets, percent), "links")
     labels = stored(components(links), "labels")
-    # long lists: what lies across components
-    across = matches(_labelled(dealt, labels, n), labels, n, percent)
-    more = stored(verified(across, sets, percent), "links")
+    more = stored(across(clusters(dealt, n), sets, labels, percent), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = stored(components(links), "labels")
     return members, links, labels
 
 
-def _labelled(dealt: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """The postings of long lists with a component for each; a class without links is its own."""
-
-    def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            for size, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts.append(unpack(data, size, "u8", "i8", "u4", "u1"))
-        if not parts:
-            return
-        code, key, size, l = (np.concatenate(c) for c in zip(*parts, strict=True))
-        o = np.argsort(code, kind="stable")
-        code, key, size, l = code[o], key[o], size[o], l[o]
-        many = np.diff(np.r_[starts_of(code), len(code)])
-        at = np.flatnonzero(np.repeat(many, many) > LIST)
-        for i in range(0, len(at), 100_000):
-            p = at[i : i + 100_000]
-            yield rows(["code", "key", "size", "l"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], code[p].view(np.int64), key[p], size[p].astype(np.int64), l[p].astype(np.int32))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, key, size, l, group = (c.to_numpy() for c in b.columns)
-            code = code.view(np.uint64)
-            with np.errstate(over="ignore"):
-                bucket = (_mixed(code) % np.uint64(n)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            s = starts_of(bucket[o])
-            ends = np.r_[s[1:], len(o)]
-            data = [pack(code[o[a:e]], key[o[a:e]], size[o[a:e]].astype(np.uint32), l[o[a:e]].astype(np.uint8), group[o[a:e]]) for a, e in zip(s, ends, strict=True)]
-            yield rows(["bucket", "size", "data"], [pa.int32(), pa.int32(), pa.binary()], bucket[o][s].astype(np.int32), (ends - s).astype(np.int32), data)
-
-    flat = dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(long_ones, "code long, key long, size long, l int")
-    flat = flat.join(labels, flat["key"] == labels["node"], "left").select("code", "key", "size", "l", F.coalesce("component", "key").alias("component"))
-    return flat.mapInArrow(again, "bucket int, size int, data binary")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same set), class_links (classes linked to it).
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same set).
 
     Null, empty and wordless texts have no shingles and link with nothing: each is its own component. A text of fewer than five words is one shingle.
     Repeated rows are links of their own id. A null id is reported as null and, being the smallest, makes its component's id null. Empty tables give no rows. Texts are read whole; other columns are not read.
     """
-    members, links, labels = join_classes(docs, id_col, text_col, percent)
+    members, _, labels = join_classes(docs, id_col, text_col, percent)
     # a component's smallest id: by class first, then over the component's classes
     least = members.where("set_size > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("class_links"))
-    named = least.join(labels, least["key"] == labels["node"], "left").join(degree, least["key"] == degree["k"], "left")
-    named = named.select("key", "class_id", F.coalesce("component", "key").alias("component"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    named = least.join(labels, least["key"] == labels["node"], "left")
+    named = named.select("key", "class_id", F.coalesce("component", "key").alias("component"))
     smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("key").alias("k"), "class_id", "component_id", "class_links")
+    named = named.join(smallest, "component").select(F.col("key").alias("k"), "class_id", "component_id")
     out = members.join(named, (members["key"] == named["k"]) & (members["set_size"] > 0), "left")
     null = F.lit(-(1 << 63))  # stands for a null id
     return out.select(
@@ -465,5 +486,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("set_size").alias("n_shingles"),
         F.nullif(F.coalesce("component_id", "doc_id"), null).alias("component_id"),
         F.nullif(F.coalesce("class_id", "doc_id"), null).alias("class_id"),
-        F.coalesce("class_links", F.lit(0)).alias("class_links"),
     )
