@@ -151,7 +151,7 @@ def occurrences(docs: DataFrame, items: list[tuple[int, str]], window: int = WIN
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([RESULT, *(f"`{c}` {kinds[c]}" for c in extra)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *extra).mapInArrow(work, schema)
 
 
 def benchmark_parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:

@@ -273,4 +273,4 @@ def identify(docs: DataFrame, net: Network | None = None, extra: tuple[str, ...]
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([RESULT, *(f"`{c}` {kinds[c]}" for c in extra)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *extra).mapInArrow(work, schema)
