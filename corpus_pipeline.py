@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are equal or similar to earlier ones go; so do documents that lose lines and are left without any word."""
     d = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    d = d.where((F.size("gone") == 0) | F.col("kept").rlike(r"\\S"))
+    d = d.where((F.size("gone") == 0) | F.col("kept").rlike(r"\S"))
     return d.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
