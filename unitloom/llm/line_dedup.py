@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import stored
 
 #: Words of a token, similarity, and the fewest words of a line that is compared at all.
 N, PERCENT, MIN_WORDS = 5, 80, 5
@@ -22,12 +22,13 @@ N, PERCENT, MIN_WORDS = 5, 80, 5
 NEAREST = 6
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus. A count's order of magnitude over the mean is a token's class of rarity.
 COUNTERS = 1 << 14
+#: Bits of the filter before token sets are looked up.
+BITS = 1 << 20
 
 
 def _words(line: Column) -> Column:
-    """Hashes of the words in order: A-Z lower-cased, cut at spaces, tabs, vertical tabs, form feeds and carriage returns."""
-    words = F.filter(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\x0b\x0c", "abcdefghijklmnopqrstuvwxyz    "), " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.hash(w))
+    """Hashes of the lower-cased words in order; words are cut at spaces."""
+    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.hash(w))
 
 
 def _tokens(h: Column) -> Column:
@@ -36,12 +37,15 @@ def _tokens(h: Column) -> Column:
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, pos, n, toks, cls) of each line with MIN_WORDS words: row tells input rows apart, doc is the id (nulls the smallest), cls the class."""
+    """(line, row, doc, pos, n, toks, cls) of each line with MIN_WORDS words: line numbers it, row tells input rows apart, doc is the id (nulls the smallest), cls the class.
+
+    To be stored before use: line numbers hold for one run.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     d = d.select("row", "doc", "pos", _words(F.col("line")).alias("h")).where(F.size("h") >= MIN_WORDS)
     d = d.select("row", "doc", "pos", F.sort_array(_tokens(F.col("h"))).alias("toks"))
-    return d.select("row", "doc", "pos", F.size("toks").alias("n"), "toks", F.xxhash64("toks").alias("cls"))
+    return d.select(F.monotonically_increasing_id().alias("line"), "row", "doc", "pos", F.size("toks").alias("n"), "toks", F.xxhash64("toks").alias("cls"))
 
 
 def _least_common(n: Column, percent: int) -> Column:
@@ -61,12 +65,24 @@ def rarity(t: DataFrame) -> Column:
 
 
 def postings(t: DataFrame, percent: int) -> DataFrame:
-    """(tok, cls, doc, pos, n, i) of each line's prefix; i is the token's place in the line's order."""
+    """(tok, line, i) of each line's prefix; i is the token's place in the line's order, 255 at most (which only loosens the bound it is used in)."""
     classes = rarity(t)
     order = F.transform("toks", lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(COUNTERS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     length = (F.col("n") - _least_common(F.col("n"), percent) + 1).cast("int")
-    p = t.select("cls", "doc", "pos", "n", F.slice(F.sort_array(order), F.lit(1), length).alias("p"))
-    return p.select("cls", "doc", "pos", "n", F.posexplode("p").alias("i", "tok"))
+    p = t.select("line", F.slice(F.sort_array(order), F.lit(1), length).alias("p")).select("line", F.posexplode("p").alias("i", "tok"))
+    # two numbers a row, as these rows are most of what is shuffled
+    p = p.select((F.col("tok").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int").alias("tok"), F.shiftleft("line", 8).bitwiseOR(F.least("i", F.lit(255)).cast("long")).alias("at"))
+    p = p.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1")
+    return p.select("tok", F.shiftright("at", 8).alias("line"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("i"))
+
+
+def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """df's rows whose key is among wanted's, some others perhaps: a filter of BITS bits, fixed in size, that spares the shuffle of most other rows."""
+    k = F.pmod(F.col(key), F.lit(BITS))
+    words = wanted.select(k.alias("k")).groupBy((F.col("k") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits")).collect()
+    bits = {r.w: r.bits for r in words}
+    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
+    return df.where(F.getbit(F.get(table, (k / 64).cast("int")), (k % 64).cast("int")) == 1)
 
 
 def _may_be_similar(percent: int) -> Column:
@@ -76,8 +92,11 @@ def _may_be_similar(percent: int) -> Column:
     return (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """x of the pairs (x, y) whose token sets are similar."""
+def _similar(pairs: DataFrame, t: DataFrame, percent: int) -> DataFrame:
+    """x of the pairs (x, y) of classes whose token sets are similar."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    sets = _only(t.select("cls", "toks"), "cls", wanted).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("toks").alias("toks"))
+    sets = stored(sets, "sets")
     a, b = sets.select(F.col("cls").alias("x"), F.col("toks").alias("tx")), sets.select(F.col("cls").alias("y"), F.col("toks").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty"))
     j = pairs.join(a, "x").join(b, "y")
@@ -86,21 +105,21 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_to_earlier(t: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x): classes whose first line has a similar line of another class before it."""
-    by_token = Window.partitionBy("tok")
-    p = postings(t, percent).withColumn("c", F.count("*").over(by_token)).where("c > 1")
-    first = p.groupBy("tok", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"))
-    q = stored(first.withColumn("c", F.count("*").over(by_token)).where("c > 1"), "lists")
-    sets = stored(t.select("cls", "toks").join(q.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
+    p = postings(t, percent)
+    p = p.join(t.select("line", "cls", "doc", "pos", "n"), "line")
+    first = p.groupBy("tok", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"), F.min("line").alias("line"))
+    q = stored(first.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1"), "lists")
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
     near = q.withColumn("y", F.collect_list(F.struct("cls", "n", "i")).over(before))
     near = near.select(F.col("cls").alias("x"), "n", "i", F.explode("y").alias("y")).select("x", "n", "i", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"))
-    found = stored(_similar(near.where(_may_be_similar(percent)).select("x", "y").distinct(), sets, percent), "found")
+    pairs = stored(near.where(_may_be_similar(percent)).select("x", "y").distinct(), "pairs")
+    found = stored(_similar(pairs, t, percent), "found")
     # what stands, in lists that are longer
     long_ = q.where(F.col("c") > NEAREST + 1)
     x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i")
     y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"))
     rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent)).select("x", "y").distinct()
-    return found.unionByName(_similar(rest, sets, percent)).distinct()
+    return found.unionByName(_similar(stored(rest, "pairs"), t, percent)).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -142,7 +161,7 @@ WITH lines AS (
   SELECT doc_id, u.pos - 1 AS pos, string_split(text, chr(10))[u.pos] AS line
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos) u
 ), words AS (
-  SELECT doc_id, pos, list_filter(string_split(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(13) || chr(11) || chr(12), 'abcdefghijklmnopqrstuvwxyz    '), ' '), lambda w: w <> '') AS w
+  SELECT doc_id, pos, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w
   FROM lines
 ), toks AS (
   SELECT doc_id, pos, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS t
