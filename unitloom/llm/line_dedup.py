@@ -20,8 +20,8 @@ from .common import stored
 N, PERCENT, MIN_WORDS = 5, 80, 5
 #: Classes before it that a class meets at first, in each list.
 NEAREST = 6
-#: Counters of the rarity sketch: its size is fixed, whatever the corpus. A count's order of magnitude over the mean is a token's class of rarity.
-COUNTERS = 1 << 14
+#: Counters of the rarity sketch: its size is fixed, whatever the corpus. How far a token's counter lies above the mean is its class of rarity.
+COUNTERS = 1 << 17
 #: Bits of the filter before token sets are looked up.
 BITS = 1 << 20
 
@@ -60,7 +60,7 @@ def rarity(t: DataFrame) -> Column:
     """
     counts = {r.c: r.n for r in t.select(F.explode("toks").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n")).collect()}
     mean = max(1, sum(counts.values()) // COUNTERS)
-    text = ",".join(str((counts.get(i, 0) // (2 * mean)).bit_length()) for i in range(COUNTERS))
+    text = ",".join(str((max(0, counts.get(i, 0) - mean) * 4 // mean).bit_length()) for i in range(COUNTERS))
     return F.split(F.lit(text), ",").cast("array<bigint>")  # folds to one literal
 
 
@@ -85,11 +85,23 @@ def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.where(F.getbit(F.get(table, (k / 64).cast("int")), (k % 64).cast("int")) == 1)
 
 
+def _bits(word: int) -> Column:
+    """One of two words of a token set's 128-bit outline: a bit for each token's low bits."""
+    mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * word
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
+    return F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseOR(one(x))).otherwise(a))
+
+
 def _may_be_similar(percent: int) -> Column:
-    """Length and position bounds for (n, i) and (yn, yi), where the token is the first that both share."""
+    """Length, position and outline bounds for (n, i, b0, b1) and (yn, yi, y0, y1), where the token is the first that both share.
+
+    A bit of one outline that the other lacks is a token that the other lacks.
+    """
     small, large = F.least("n", "yn"), F.greatest("n", "yn")
     most = 1 + F.least(F.col("n") - F.col("i"), F.col("yn") - F.col("yi")) - 1
-    return (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
+    both = F.least(F.col("n") - lacks("b0", "y0") - lacks("b1", "y1"), F.col("yn") - lacks("y0", "b0") - lacks("y1", "b1"))
+    return (100 * small >= percent * large) & (F.least(most, both) * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
 
 
 def _similar(pairs: DataFrame, t: DataFrame, percent: int) -> DataFrame:
@@ -106,18 +118,19 @@ def _similar(pairs: DataFrame, t: DataFrame, percent: int) -> DataFrame:
 def similar_to_earlier(t: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x): classes whose first line has a similar line of another class before it."""
     p = postings(t, percent)
-    p = p.join(t.select("line", "cls", "doc", "pos", "n"), "line")
-    first = p.groupBy("tok", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"), F.min("line").alias("line"))
+    p = p.join(t.select("line", "cls", "doc", "pos", "n", _bits(0).alias("b0"), _bits(1).alias("b1")), "line")
+    first = p.groupBy("tok", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     q = stored(first.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1"), "lists")
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
-    near = q.withColumn("y", F.collect_list(F.struct("cls", "n", "i")).over(before))
-    near = near.select(F.col("cls").alias("x"), "n", "i", F.explode("y").alias("y")).select("x", "n", "i", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"))
+    near = q.withColumn("y", F.collect_list(F.struct("cls", "n", "i", "b0", "b1")).over(before))
+    near = near.select(F.col("cls").alias("x"), "n", "i", "b0", "b1", F.explode("y").alias("y"))
+    near = near.select("x", "n", "i", "b0", "b1", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"), F.col("y.b0").alias("y0"), F.col("y.b1").alias("y1"))
     pairs = stored(near.where(_may_be_similar(percent)).select("x", "y").distinct(), "pairs")
     found = stored(_similar(pairs, t, percent), "found")
     # what stands, in lists that are longer
     long_ = q.where(F.col("c") > NEAREST + 1)
-    x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i")
-    y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"))
+    x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i", "b0", "b1")
+    y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
     rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent)).select("x", "y").distinct()
     return found.unionByName(_similar(stored(rest, "pairs"), t, percent)).distinct()
 
