@@ -23,7 +23,7 @@ NEAREST = 6
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus. How far a token's counter lies above the mean is its class of rarity.
 COUNTERS = 1 << 17
 #: Bits of the filter before token sets are looked up.
-BITS = 1 << 20
+BITS = 1 << 21
 
 
 def _words(line: Column) -> Column:
@@ -37,15 +37,12 @@ def _tokens(h: Column) -> Column:
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(line, row, doc, pos, n, toks, cls) of each line with MIN_WORDS words: line numbers it, row tells input rows apart, doc is the id (nulls the smallest), cls the class.
-
-    To be stored before use: line numbers hold for one run.
-    """
+    """(row, doc, pos, n, toks, cls) of each line with MIN_WORDS words: row tells input rows apart, doc is the id (nulls the smallest), cls the class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     d = d.select("row", "doc", "pos", _words(F.col("line")).alias("h")).where(F.size("h") >= MIN_WORDS)
     d = d.select("row", "doc", "pos", F.sort_array(_tokens(F.col("h"))).alias("toks"))
-    return d.select(F.monotonically_increasing_id().alias("line"), "row", "doc", "pos", F.size("toks").alias("n"), "toks", F.xxhash64("toks").alias("cls"))
+    return d.select("row", "doc", "pos", F.size("toks").alias("n"), "toks", F.xxhash64("toks").alias("cls"))
 
 
 def _least_common(n: Column, percent: int) -> Column:
@@ -65,15 +62,19 @@ def rarity(t: DataFrame) -> Column:
 
 
 def postings(t: DataFrame, percent: int) -> DataFrame:
-    """(tok, line, i) of each line's prefix; i is the token's place in the line's order, 255 at most (which only loosens the bound it is used in)."""
+    """(tok, cls, i): each class once in the list of each token of its prefix, for lists of several classes.
+
+    i is the token's place in the class's order, 127 at most, which only loosens the bound it is used in.
+    """
     classes = rarity(t)
     order = F.transform("toks", lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(COUNTERS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     length = (F.col("n") - _least_common(F.col("n"), percent) + 1).cast("int")
-    p = t.select("line", F.slice(F.sort_array(order), F.lit(1), length).alias("p")).select("line", F.posexplode("p").alias("i", "tok"))
-    # two numbers a row, as these rows are most of what is shuffled
-    p = p.select((F.col("tok").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int").alias("tok"), F.shiftleft("line", 8).bitwiseOR(F.least("i", F.lit(255)).cast("long")).alias("at"))
-    p = p.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1")
-    return p.select("tok", F.shiftright("at", 8).alias("line"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("i"))
+    p = t.select("cls", F.slice(F.sort_array(order), F.lit(1), length).alias("p")).select("cls", F.posexplode("p").alias("i", "tok"))
+    # narrow rows, as they are most of what is shuffled; all that follows here happens where a token's rows are
+    p = p.select((F.col("tok").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int").alias("tok"), "cls", F.least("i", F.lit(127)).cast("byte").alias("i"))
+    several = F.count("*").over(Window.partitionBy("tok"))
+    p = p.withColumn("c", several).where("c > 1").groupBy("tok", "cls").agg(F.min("i").alias("i"))
+    return p.withColumn("c", several).where("c > 1").select("tok", "cls", F.col("i").cast("int").alias("i"), "c")
 
 
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -104,43 +105,42 @@ def _may_be_similar(percent: int) -> Column:
     return (100 * small >= percent * large) & (F.least(most, both) * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
 
 
-def _similar(pairs: DataFrame, t: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """x of the pairs (x, y) of classes whose token sets are similar."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    sets = _only(t.select("cls", "toks"), "cls", wanted).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("toks").alias("toks"))
-    sets = stored(sets, "sets")
     a, b = sets.select(F.col("cls").alias("x"), F.col("toks").alias("tx")), sets.select(F.col("cls").alias("y"), F.col("toks").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty"))
     j = pairs.join(a, "x").join(b, "y")
     return j.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def similar_to_earlier(t: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(x): classes whose first line has a similar line of another class before it."""
-    p = postings(t, percent)
-    p = p.join(t.select("line", "cls", "doc", "pos", "n", _bits(0).alias("b0"), _bits(1).alias("b1")), "line")
-    first = p.groupBy("tok", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    q = stored(first.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1"), "lists")
+def similar_to_earlier(t: DataFrame, firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x): classes whose first line has a similar line of another class before it. firsts: (cls, at)."""
+    q = stored(postings(t, percent), "lists")
+    wanted = q.select("cls").distinct()
+    sets = _only(t.select("cls", "n", "toks"), "cls", wanted).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("toks").alias("toks"))
+    sets = sets.join(firsts.select("cls", "at"), "cls").select("cls", "at", F.size("toks").alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), "toks")
+    sets = stored(sets, "sets")
+    q = stored(q.join(sets.drop("toks"), "cls"), "lists")
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
     near = q.withColumn("y", F.collect_list(F.struct("cls", "n", "i", "b0", "b1")).over(before))
     near = near.select(F.col("cls").alias("x"), "n", "i", "b0", "b1", F.explode("y").alias("y"))
     near = near.select("x", "n", "i", "b0", "b1", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"), F.col("y.b0").alias("y0"), F.col("y.b1").alias("y1"))
-    pairs = stored(near.where(_may_be_similar(percent)).select("x", "y").distinct(), "pairs")
-    found = stored(_similar(pairs, t, percent), "found")
+    pairs = near.where(_may_be_similar(percent)).select("x", "y").distinct()
+    found = stored(_similar(pairs, sets, percent), "found")
     # what stands, in lists that are longer
     long_ = q.where(F.col("c") > NEAREST + 1)
     x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i", "b0", "b1")
     y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
     rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent)).select("x", "y").distinct()
-    return found.unionByName(_similar(stored(rest, "pairs"), t, percent)).distinct()
+    return found.unionByName(_similar(rest, sets, percent)).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(row, gone): for each input row (by tokenized's row) with lines to be removed, their places, ascending."""
     t = stored(tokenized(docs, id_col, text_col), "lines")
-    earlier = similar_to_earlier(t, percent).select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     # equal lines: all but the first; partial minima before the shuffle, and only classes that matter come back to the lines
-    firsts = t.groupBy("cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c"))
+    firsts = stored(t.groupBy("cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c")), "firsts")
+    earlier = similar_to_earlier(t, firsts, percent).select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     act = firsts.join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole")).select(F.col("cls").alias("k"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
     gone = t.select("row", "doc", "pos", "cls").join(act, F.col("cls") == F.col("k")).where(F.col("whole") | (F.struct("doc", "pos") > F.col("at")))
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))

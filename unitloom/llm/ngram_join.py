@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import n_parts, stored
 from .components import components
-from .packed import binary, pack, rows, starts_of, unpack
+from .packed import binary, ends_of, pack, rows, starts_of, unpack
 
 N, PERCENT = 5, 80  # words of a shingle; similarity
 #: Longest extension of a prefix; a verified shingle costs so much of a posting met.
@@ -33,7 +33,7 @@ LIST, NEAR, LEADERS = 8, 1, 2
 #: Members of a block, about; columns of shingles compared at once.
 BLOCK, COLUMNS = 512, 8192
 #: Bytes of text worked on at once: bounds memory alone.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -143,7 +143,7 @@ def counted(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                     o = np.argsort(bucket, kind="stable")
                     w, x, bucket = w[o], x[o], bucket[o]
                     s = starts_of(bucket)
-                    ends = np.r_[s[1:], len(x)]
+                    ends = ends_of(s, len(x))
                     blobs = []
                     for a, e in zip(s, ends, strict=True):
                         run = starts_of(w[a:e])
@@ -181,7 +181,7 @@ def counted(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             key, top, c, target = key[o], top[o], c[o], target[o]
             s = starts_of(target)
             if len(s):  # packed by the partition that gathers the class
-                ends = np.r_[s[1:], len(key)]
+                ends = ends_of(s, len(key))
                 data = [pack(key[a:e], top[a:e], np.full(e - a, bucket, np.uint32), c[a:e]) for a, e in zip(s, ends, strict=True)]
                 yield rows(_DEALT, _DEALT_KINDS, np.zeros(len(s), np.int32), target[s].astype(np.int32), (ends - s).astype(np.int32), data)
 
@@ -240,7 +240,7 @@ def postings(sets: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
             bucket = (_mixed(code) % np.uint64(n)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             s = starts_of(bucket[o])
-            ends = np.r_[s[1:], len(o)]
+            ends = ends_of(s, len(o))
             data = [pack(code[o[a:e]], key[o[a:e]], size[o[a:e]].astype(np.uint32), l[o[a:e]].astype(np.uint8)) for a, e in zip(s, ends, strict=True)]
             yield rows(["bucket", "size", "data"], [pa.int32(), pa.int32(), pa.binary()], bucket[o][s].astype(np.int32), (ends - s).astype(np.int32), data)
 
@@ -439,7 +439,7 @@ def _sets(made: DataFrame, n: int) -> DataFrame:
         o = np.lexsort((code, key))
         key, code, count = key[o], code[o], count[o]
         s = starts_of(key)
-        ends = np.r_[s[1:], len(key)]
+        ends = ends_of(s, len(key))
         for i in range(0, len(s), 2000):
             span = list(zip(s[i : i + 2000], ends[i : i + 2000], strict=True))
             yield rows(["key", "many", "codes", "data"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], key[s[i : i + 2000]], [e - a for a, e in span], [pack(code[a:e]) for a, e in span], [pack(count[a:e]) for a, e in span])

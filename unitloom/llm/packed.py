@@ -19,6 +19,11 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
+def ends_of(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where the stretches that begin at starts end, of n in all."""
+    return np.r_[starts[1:], n].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 

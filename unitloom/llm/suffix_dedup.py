@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_parts
-from .packed import binary, pack, rows as batch, starts_of, unpack
+from .packed import binary, ends_of, pack, starts_of, unpack
+from .packed import rows as batch
 from .two_stage_sort import joined, neighbours_prefix, suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -136,7 +137,7 @@ def shared_anchors(base: DataFrame, n: int) -> DataFrame:
             for kind, pick in ((2, first[common[first]] if len(h) else first), (0, np.flatnonzero(~common))):
                 pick = pick[np.argsort(bucket[pick], kind="stable")]
                 s = starts_of(bucket[pick])
-                ends = np.r_[s[1:], len(pick)].astype(np.int64)
+                ends = ends_of(s, len(pick))
                 data = []
                 for a, e in zip(s, ends, strict=True):
                     p = pick[a:e]
@@ -206,7 +207,7 @@ def _to_rows(key: np.ndarray, top: np.ndarray, n: int) -> Iterator[pa.RecordBatc
     o = np.lexsort((top, key, target))
     key, top, target = key[o], top[o], target[o]
     s = starts_of(target)
-    ends = np.r_[s[1:], len(key)]
+    ends = ends_of(s, len(key))
     yield batch(_DEALT, _DEALT_KINDS, np.ones(len(s), np.int32), target[s].astype(np.int32), (ends - s).astype(np.int32), [pack(key[a:e], top[a:e]) for a, e in zip(s, ends, strict=True)])
 
 
@@ -331,7 +332,7 @@ def covered(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
             by = np.lexsort((at[m], who[m], bucket))  # by text within a bucket: what is alike lies together and packs well
             m, bucket = m[by], bucket[by]
             s = starts_of(bucket)
-            ends = np.r_[s[1:], len(m)]
+            ends = ends_of(s, len(m))
             parts = [m[a:b] for a, b in zip(s, ends, strict=True)]
             yield from pack(bucket[s].tolist(), [len(p) for p in parts], [_packed_lines(doc[p], row[p], at[p], lines[p]) for p in parts], spans)
 
