@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, retrieval
+from . import evaluation, pipelines, retrieval
 
-_MODULES = (retrieval, evaluation)
+_MODULES = (retrieval, evaluation, pipelines)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
