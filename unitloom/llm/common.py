@@ -28,11 +28,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: its lineage ends there, so that a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet in the shared folder and read back: its lineage ends there, so that a lost executor costs no recomputation.
+
+    The shuffle files of the write have no use once it is done, and go then.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

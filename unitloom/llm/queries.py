@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, line_dedup, ngram_join, packing, suffix_dedup, token_records, url_filters
+from . import decontamination, fingerprints, language_id, line_dedup, ngram_join, oracle, packing, suffix_dedup, token_records, url_filters
 from .common import documents
 from .secret_scan import secret_report
 
@@ -72,5 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": oracle.NGRAM_JOIN,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_secret_scan": oracle.SECRET_SCAN,
+    "op6_decontamination": oracle.DECONTAMINATION,
+    "op8_url_filters": oracle.URL_FILTERS,
+    "op10_suffix_dedup": oracle.SUFFIX_DEDUP,
 }
