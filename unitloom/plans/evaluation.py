@@ -343,3 +343,44 @@ def f24(spark: SparkSession, d: str) -> DataFrame:
 @query("f27_a18_type_counts", "SELECT CASE gt_type WHEN 0 THEN 'root' WHEN 1 THEN 'internal' ELSE 'leaf' END AS type_name, count(*) AS queries FROM queries GROUP BY gt_type")
 def f27(spark: SparkSession, d: str) -> DataFrame:
     return Views(spark, d).queries().select(F.get(F.array(*map(F.lit, TYPES)), F.col("gt_type")).alias("type_name")).groupBy("type_name").agg(F.count("*").alias("queries"))
+
+
+@query("a32_latency_summary", f"WITH s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type) SELECT event_type, n, {s6('mean', 'p50', 'p95', digits=4)} FROM s")
+def a32(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and percentiles of a table of timings; event values stand for them."""
+    s = Views(spark, d).table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    return s.select("event_type", "n", *r6("mean", "p50", "p95", digits=4))
+
+
+@query("s09_s10_query_limits", """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id % 4 END AS t FROM documents WHERE n_chars > 0)
+SELECT doc_id, source, coalesce(t, 2) AS gt_type FROM n WHERE n <= 7 ORDER BY source, doc_id LIMIT 100""")
+def s09(spark: SparkSession, d: str) -> DataFrame:
+    """So many queries a file and in all, files by name; a missing type is 2."""
+    t = Views(spark, d).table("documents").where("n_chars > 0")
+    n = t.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 7").orderBy("source", "doc_id").limit(100)
+    return n.select("doc_id", "source", F.coalesce(F.when(F.col("doc_id") % 4 != 3, F.col("doc_id") % 4), F.lit(2)).cast("long").alias("gt_type"))
+
+
+@query("s12_s13_usable_vectors", "SELECT label, count(*) AS rows, count(*) FILTER (len(embedding) = 64 AND vec_id % 11 <> 0) AS usable, count(*) FILTER (NOT (len(embedding) = 64 AND vec_id % 11 <> 0)) AS dropped FROM embeddings GROUP BY label")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the expected size by group, with what is dropped; every eleventh counts as missing."""
+    v = Views(spark, d).table("embeddings").withColumn("embedding", F.when(F.col("vec_id") % 11 != 0, F.col("embedding")))
+    ok = F.coalesce(F.size("embedding") == 64, F.lit(False))
+    return v.groupBy("label").agg(F.count("*").alias("rows"), F.count_if(ok).alias("usable"), F.count_if(~ok).alias("dropped"))
+
+
+@query("s22_a33_manifest", _POOL + " SELECT binary_name, count(*) AS selected, count(*) FILTER (is_gt) AS gt, (SELECT count(*) FROM pool) AS pool_size, (SELECT count(*) FROM ex) AS excluded FROM pool GROUP BY binary_name")
+def s22(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the selected pool by binary, with the totals a manifest states."""
+    inv, truth = _inventory(spark, d)
+    ex = P.multi_target(_query_table(truth)).unionByName(P.siblings(truth, inv)).unionByName(P.clones(truth, inv)).distinct()
+    pool = P.select_pool(inv, truth, ex, 150)
+    n, excluded = pool.count(), ex.count()
+    return pool.groupBy("binary_name").agg(F.count("*").alias("selected"), F.count_if("is_gt").alias("gt")).withColumn("pool_size", F.lit(n)).withColumn("excluded", F.lit(excluded))
+
+
+@query("s26_names", r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) || '_bb_slice_feature.json', '_feature\.json$', '_embeddings') AS embedding_name FROM pages")
+def s26(spark: SparkSession, d: str) -> DataFrame:
+    """Names of derived files from those of feature files."""
+    base = F.concat(F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1), F.lit("_bb_slice_feature.json"))
+    return Views(spark, d).table("pages").select("page_id", F.regexp_replace(base, r"_feature\.json$", "_embeddings").alias("embedding_name"))
