@@ -187,7 +187,13 @@ def demoted(d: DataFrame) -> DataFrame:
 
 
 class Search:
-    """All stages over one set of views, each built when first asked for."""
+    """All stages over one set of views, each built when first asked for.
+
+    Stages that several later ones read are kept in memory or on disk of the executors, and made anew where one is lost;
+    close() lets them go.
+    """
+
+    KEPT = ("hits", "post", "stats", "fstats", "idf", "profile", "a")
 
     def __init__(self, views, pool_buckets: int = 8, query_buckets: int = 6, cap: int | None = None):
         self.v, self.k, self.b, self.cap = views, pool_buckets, query_buckets, cap
@@ -195,9 +201,15 @@ class Search:
 
     def _once(self, name: str, make):
         if name not in self._made:
-            self._made[name] = make()
+            df = make()
+            self._made[name] = df.persist() if name in self.KEPT else df
         return self._made[name]
 
+    def close(self) -> None:
+        for name in self.KEPT:
+            if name in self._made:
+                self._made.pop(name).unpersist()
+
     def hits(self):
         return self._once("hits", lambda: bucket_hits(self.v.units(), self.v.centroids(), self.k))
 
