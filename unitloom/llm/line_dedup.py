@@ -127,11 +127,15 @@ def similar_to_earlier(t: DataFrame, firsts: DataFrame, percent: int = PERCENT)
     near = near.select("x", "n", "i", "b0", "b1", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"), F.col("y.b0").alias("y0"), F.col("y.b1").alias("y1"))
     pairs = near.where(_may_be_similar(percent)).select("x", "y").distinct()
     found = stored(_similar(pairs, sets, percent), "found")
-    # what stands, in lists that are longer
-    long_ = q.where(F.col("c") > NEAREST + 1)
-    x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i", "b0", "b1")
-    y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
-    rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent)).select("x", "y").distinct()
+    # what stands, in lists that are longer. A pair comes up at the first token that both share: had they shared an earlier one, they would
+    # meet in its list, or have met there above
+    tokens_ = q.groupBy("cls").agg(F.collect_list(F.struct("i", "tok")).alias("all"))
+    long_ = q.where(F.col("c") > NEAREST + 1).join(tokens_, "cls")
+    long_ = long_.withColumn("sooner", F.transform(F.filter("all", lambda s: s["i"] < F.col("i")), lambda s: s["tok"])).drop("all")
+    x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i", "b0", "b1", "sooner")
+    y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("b0").alias("y0"), F.col("b1").alias("y1"), F.col("sooner").alias("ysooner"))
+    first_shared = ~F.coalesce(F.arrays_overlap("sooner", "ysooner"), F.lit(False))
+    rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent) & first_shared).select("x", "y").distinct()
     return found.unionByName(_similar(rest, sets, percent)).distinct()
 
 
