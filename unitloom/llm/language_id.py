@@ -260,7 +260,7 @@ def identify(docs: DataFrame, net: Network | None = None, extra: tuple[str, ...]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if net.languages else []
             lang, score = [UNKNOWN] * len(ids), [0.0] * len(ids)

@@ -19,7 +19,7 @@ from .common import stored
 #: Words of a token, similarity, and the fewest words of a line that is compared at all.
 N, PERCENT, MIN_WORDS = 5, 80, 5
 #: Classes before it that a class meets at first, in each list.
-NEAREST = 6
+NEAREST = 10
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus. How far a token's counter lies above the mean is its class of rarity.
 COUNTERS = 1 << 17
 #: Bits of the filter before token sets are looked up.

@@ -122,17 +122,19 @@ def counted(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """Steps 1 and 2: kind 1 packs (key, doc_id, set size) of documents, kind 0 (key, shingle, bucket, count) of shared shingles, by the class's partition."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        sent: set[int] = set()  # of equal sets in a task one is sent
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             ids = b.column(0)
             texts = [(t or "").encode().translate(_LOWER) for t in b.column(1).to_pylist()]
-            sent: set[int] = set()
+            if len(sent) > 1_000_000:  # bounds memory alone
+                sent.clear()
             with np.errstate(over="ignore"):
                 for lo, hi in _groups(texts):
                     who, h = shingle_sets(texts[lo:hi])
                     size, key = set_keys(who, h, hi - lo)
                     part = np.array([x if x is not None else -(1 << 63) for x in ids.slice(lo, hi - lo).to_pylist()], np.int64)
                     yield rows(_DEALT, _DEALT_KINDS, [1], [int(key[0] % n)], [hi - lo], [pack(key, part, size)])
-                    fresh = np.zeros(hi - lo, bool)  # of equal sets in a batch one is sent
+                    fresh = np.zeros(hi - lo, bool)
                     for i, k in enumerate(key.tolist()):
                         if size[i] and k not in sent:
                             sent.add(k)

@@ -32,7 +32,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int
         enc = encoder(tokenizer_path)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                doc, text = doc.as_py(), text.as_py()
                 ids = np.append(np.frombuffer(enc.packed(text or ""), enc.dtype), end_id).astype("<u4")
                 n = len(ids)
                 for s in range(0, n, sequence):
@@ -40,6 +41,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int
                     out.append((doc, s, len(part), zlib.crc32(part), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+        encoder(tokenizer_path).old = {}  # what an idle worker holds on to
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 

@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 
 #: Chunks in each of a worker's two generations of cache. Bounds memory alone, never a result.
-CACHE = 400_000
+CACHE = 300_000
 #: Chunks longer than this are not kept.
 LONGEST = 48
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
