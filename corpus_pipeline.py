@@ -11,7 +11,6 @@ from unitloom.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
-FIVE_WORDS = r"(?:[^ \t\n\r\x0b\x0c]+[ \t\r\x0b\x0c]+){4}[^ \t\n\r\x0b\x0c]"  # in one line
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are equal or similar to earlier ones go; so do documents that lose lines and have none of five words left: they were copies."""
-    d = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    d = d.where((F.size("gone") == 0) | F.col("kept").rlike(FIVE_WORDS))
+    """Lines that are equal or similar to earlier ones go; so do documents that lose lines and have only earlier short ones left, or none: they were copies."""
+    d = line_dedup.dedup_lines(docs.select(*COLUMNS), mark_copies=True).where("not copy")
     return d.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 

@@ -36,3 +36,11 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in d.collect()} == want and list(d.columns) == list(c.COLUMNS)
     assert {r.doc_id for r in c.pack(spark, d, str(tmp_path)).collect()} == want
     assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_unseen_short_lines_outlive_a_removed_line(spark):
+    licence = "this text is free for all to use"
+    texts = [licence + "\nTitle", licence + "\nroses are red\nviolets\tare blue", licence + "\ntitle ", licence + "\n \n", licence + "\nvioletsareblue", "TITLE", licence]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], plain.SCHEMA)
+    got = {r.doc_id: r.text for r in c.lines(spark, d, "").collect()}
+    assert got == {0: texts[0], 1: "roses are red\nviolets\tare blue", 4: "violetsareblue", 5: "TITLE"}

@@ -18,6 +18,8 @@ from .common import stored
 
 #: Words of a token, similarity, and the fewest words of a line that is compared at all.
 N, PERCENT, MIN_WORDS = 5, 80, 5
+#: A line of MIN_WORDS words, as tokenized cuts them.
+COMPARED = rf"(?:[^ \n]+ +){{{MIN_WORDS - 1}}}[^ \n]"
 #: Classes before it that a class meets at first, in each list.
 NEAREST = 10
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus. How far a token's counter lies above the mean is its class of rarity.
@@ -150,19 +152,37 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def with_new_short_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row): input rows (by tokenized's row) with a line that has words, too few to be compared, and comes here first.
+
+    Such a line is one token of all its words, cut at all white space.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    d = d.where(~F.col("line").rlike(COMPARED) & F.col("line").rlike(r"\S"))
+    whole = F.xxhash64(F.array_remove(F.split(F.lower("line"), r"\s+"), ""))
+    return d.groupBy(whole.alias("whole")).agg(F.min(F.struct("doc", "pos", "row")).alias("at")).select("at.row").distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, mark_copies: bool = False) -> DataFrame:
     """The input with two more columns: gone, places of the removed lines (empty array if none), and kept, the text of the others.
 
+    With mark_copies also copy: whether lines are gone and those left, if any have words, are too short to be compared and all come earlier.
+
     Order is by id, then by place in the text. Lines of fewer than MIN_WORDS words stay, so do empty lines and texts; a null text stays null.
     Rows with one id are one document's: the same line at the same place of repeated rows is no earlier line. Null ids come first.
     A text whose lines all go is the empty string. Extra columns stay as they are.
     """
     gone = removed_lines(docs, id_col, text_col, percent).withColumnRenamed("row", "_gone_row")
+    if mark_copies:  # joined to the places, so that texts are shuffled once
+        new = with_new_short_lines(docs, id_col, text_col)
+        gone = gone.join(new, gone["_gone_row"] == new["row"], "left").select("_gone_row", "gone", F.col("row").isNull().alias("copy"))
     d = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     d = d.join(gone, d["_row"] == gone["_gone_row"], "left").drop("_row", "_gone_row")
     d = d.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    return d.withColumn("kept", F.when(F.size("gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    d = d.withColumn("kept", F.when(F.size("gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    return d.withColumn("copy", F.coalesce("copy", F.lit(False)) & ~F.coalesce(F.col("kept").rlike(COMPARED), F.lit(False))) if mark_copies else d
 
 
 def report(docs: DataFrame) -> DataFrame:
