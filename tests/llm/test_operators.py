@@ -90,6 +90,19 @@ def test_line_dedup(docs, rows, monkeypatch, near):
         assert got[d].kept == (t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]))
 
 
+def test_lines_that_collide_in_32_bits_are_not_equal(spark):
+    pairs_ = [("red blue green w197943 end", "red blue green w238015 end"), ("red blue green w103925 end", "red blue green w213573 end")]
+    d = spark.createDataFrame([(2 * i + j, t, "en", "s", 26) for i, p in enumerate(pairs_) for j, t in enumerate(p)] + [(9, pairs_[0][0], "en", "s", 26)], plain.SCHEMA)
+    assert {r.doc_id: r.n_removed for r in line_dedup.report(d).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1}
+
+
+def test_similar_lines_meet_though_halves_of_tokens_collide(docs, rows, monkeypatch):
+    full = line_dedup._tokens
+    monkeypatch.setattr(line_dedup, "_tokens", lambda h: line_dedup.F.transform(full(h), lambda x: line_dedup.F.shiftright(x, 32).cast("long") * (1 << 32) + x.bitwiseAND(line_dedup.F.lit(15))))
+    want = plain.removed(pairs(rows))
+    assert {r.doc_id: set(r.gone) for r in line_dedup.dedup_lines(docs).collect()} == {d: want[d] for d, _ in pairs(rows)}
+
+
 def test_fingerprints(docs, rows):
     order = sorted(pairs(rows))
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}

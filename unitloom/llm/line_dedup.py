@@ -29,13 +29,13 @@ BITS = 1 << 21
 
 
 def _words(line: Column) -> Column:
-    """Hashes of the lower-cased words in order; words are cut at spaces."""
-    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.hash(w))
+    """64-bit hashes of the lower-cased words in order; words are cut at spaces."""
+    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
 
 
 def _tokens(h: Column) -> Column:
-    """Distinct hashes of N words in a row, of all words if there are fewer."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - N)), lambda i: F.hash(*[F.get(h, i + k) for k in range(N)])))
+    """Distinct 64-bit hashes of N words in a row, of all words if there are fewer."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - N)), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(N)])))
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,10 +66,11 @@ def rarity(t: DataFrame) -> Column:
 def postings(t: DataFrame, percent: int) -> DataFrame:
     """(tok, cls, i): each class once in the list of each token of its prefix, for lists of several classes.
 
-    i is the token's place in the class's order, 127 at most, which only loosens the bound it is used in.
+    i is the token's place in the class's order, 127 at most, which only loosens the bound it is used in. tok is the low half of a token: order
+    and rarity go by it alone, so tokens that agree in it share a list and are told apart when sets are compared.
     """
     classes = rarity(t)
-    order = F.transform("toks", lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(COUNTERS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    order = F.transform("toks", lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(COUNTERS))), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF))))
     length = (F.col("n") - _least_common(F.col("n"), percent) + 1).cast("int")
     p = t.select("cls", F.slice(F.sort_array(order), F.lit(1), length).alias("p")).select("cls", F.posexplode("p").alias("i", "tok"))
     # narrow rows, as they are most of what is shuffled; all that follows here happens where a token's rows are
@@ -91,7 +92,7 @@ def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def _bits(word: int) -> Column:
     """One of two words of a token set's 128-bit outline: a bit for each token's low bits."""
     mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * word
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseOR(one(x))).otherwise(a))
 
 
