@@ -168,6 +168,17 @@ def test_decontamination_in_parts_and_without_items(spark, docs, rows, monkeypat
     assert decontamination.report(docs, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_in_parts_reports_each_row(spark, monkeypatch):
+    items = [(i, f"a{i} b{i} c{i} d{i}") for i in range(30)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, items[3][1]), (1, items[3][1]), (1, f"x {items[20][1]} {items[5][1]}"), (None, items[7][1]), (None, items[8][1] + " y"), (None, None), (2, ""), (2, None), (3, "clean words")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, decontamination.report(d, b).collect()), key=repr)
+    monkeypatch.setattr(decontamination, "PART_CHARS", 100)
+    assert len(want) == len(texts)
+    assert sorted(map(tuple, decontamination.report(d, b).collect()), key=repr) == want
+
+
 def test_without_spans():
     assert decontamination.without_spans("A, bc-d e!", [(1, 3)]) == "A,  e!"
 

@@ -166,14 +166,18 @@ def benchmark_parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """occurrences() over all parts of the benchmark, united per document. Documents' ids must be unique if there is more than one part."""
-    found = [occurrences(docs, p, window) for p in benchmark_parts(benchmark)]
-    if len(found) == 1:
-        return found[0]
+    """occurrences() over all parts of the benchmark, united per row. Rows with the same id and text are alike in all parts: one is united, and given as often as it is there."""
+    parts = benchmark_parts(benchmark)
+    if len(parts) == 1:
+        return occurrences(docs, parts[0], window)
+    d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    found = [occurrences(d, p, window, extra=("_key",)) for p in parts]
     all_ = found[0]
     for f in found[1:]:
         all_ = all_.unionByName(f)
-    return all_.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    all_ = all_.groupBy("doc_id", "_key", "n_words").agg(united("spans"), united("items"), (F.count("*") / len(parts)).cast("int").alias("_times"))
+    return all_.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("doc_id", "n_words", "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
