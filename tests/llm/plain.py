@@ -89,8 +89,8 @@ def leaks(docs, items, window=10):
 
 
 def line_tokens(line):
-    w = [x for x in line.lower().split(" ") if x]
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if len(w) >= 5 else None
+    w = re.findall(r"[^ \t\x0b\x0c\r]+", line.lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
 
 
 def removed(rows):

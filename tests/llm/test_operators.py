@@ -96,11 +96,31 @@ def test_lines_that_collide_in_32_bits_are_not_equal(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.report(d).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1}
 
 
-def test_similar_lines_meet_though_halves_of_tokens_collide(docs, rows, monkeypatch):
-    full = line_dedup._tokens
-    monkeypatch.setattr(line_dedup, "_tokens", lambda h: line_dedup.F.transform(full(h), lambda x: line_dedup.F.shiftright(x, 32).cast("long") * (1 << 32) + x.bitwiseAND(line_dedup.F.lit(15))))
-    want = plain.removed(pairs(rows))
-    assert {r.doc_id: set(r.gone) for r in line_dedup.dedup_lines(docs).collect()} == {d: want[d] for d, _ in pairs(rows)}
+def test_equal_short_lines_and_white_space(spark):
+    texts = ["Title\none two three", "title \n\none\tTWO  three\x0b\n \t", "\x0cTITLE\r\nother", None, "", "ha ha ha ha ha\nha ha ha ha ha ha ha"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: list(r.gone) for r in line_dedup.dedup_lines(d).collect()} == {0: [], 1: [0, 2], 2: [0], 3: [], 4: [], 5: [1]}
+
+
+def test_different_lines_of_five_words_all_stay(spark):
+    d = spark.range(4_000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("alpha beta gamma delta w"), F.col("id") * 100 + i)), "\n").alias("text"))
+    assert line_dedup.report(d).agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_line_dedup_of_long_lists(spark, n):
+    """Lines around shared passages, so that lists are longer than what is first looked at."""
+    r = np.random.default_rng(n)
+    base = [[f"b{k}x{i}" for i in range(40)] for k in range(3)]
+    rows = []
+    for i in range(n):
+        w = list(base[i % 3]) if i % 4 else base[i % 3][:14] + [f"own{i}x{j}" for j in range(r.integers(5, 30))]
+        for _ in range(r.integers(0, 3)):
+            w[r.integers(0, len(w))] = f"e{r.integers(0, 50)}"
+        rows.append((i, " ".join(w)))
+    want = plain.removed(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: set(x.gone) for x in line_dedup.dedup_lines(d).collect()} == {i: want[i] for i, _ in rows}
 
 
 def test_fingerprints(docs, rows):

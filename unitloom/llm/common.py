@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local master (all in one process, as in tests) gets one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="unitloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        c = spark.sparkContext
+        if c.master != "local" and not c.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _own.get(c.applicationId) or _own.setdefault(c.applicationId, "file://" + tempfile.mkdtemp(prefix="unitloom-"))
     return at.rstrip("/")
 
 
@@ -43,16 +46,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing is read from any more: what was made of them is stored itself."""
+    for t in tables:
+        _delete(t.sparkSession, t.__dict__["_stored_at"])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _delete_written() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 

@@ -1,9 +1,10 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
-A line's tokens are its distinct runs of N words (a shorter line is one token). Lines with
-the same tokens are one class. Tokens are ordered by rarity; two lines of Jaccard >= t share a token among the first
-|x| - ceil(t |x|) + 1 of each. Classes that share one meet; length and position bounds drop most of
-them before their token sets are compared. A line is removed if an equal or similar line comes earlier.
+A line's tokens are its distinct runs of N words; a shorter line is one token of all its words. Lines with
+the same tokens are one class, told by two digests. Tokens are ordered by rarity; two lines of Jaccard >= t share a
+token among the first |x| - ceil(t |x|) + 1 of each, their prefixes. Classes that share one meet; length and position
+bounds drop some, what both prefixes have in common most of the others, and the token sets of what is left are
+read from the texts again and compared. A line is removed if an equal or similar line comes earlier.
 
 Of a token's list each class first meets the NEAREST classes before it. Only classes that this leaves standing,
 and only in longer lists, then meet all that come before: a large group of near copies is not spread into its pairs.
@@ -14,98 +15,149 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-#: Words of a token, similarity, and the fewest words of a line that is compared at all.
-N, PERCENT, MIN_WORDS = 5, 80, 5
-#: A line of MIN_WORDS words, as tokenized cuts them.
-COMPARED = rf"(?:[^ \n]+ +){{{MIN_WORDS - 1}}}[^ \n]"
+#: Words of a token, similarity.
+N, PERCENT = 5, 80
 #: Classes before it that a class meets at first, in each list.
 NEAREST = 10
-#: Counters of the rarity sketch: its size is fixed, whatever the corpus. How far a token's counter lies above the mean is its class of rarity.
-COUNTERS = 1 << 17
-#: Bits of the filter before token sets are looked up.
-BITS = 1 << 21
+#: Counters of the rarity sketch: its size is fixed, whatever the corpus.
+COUNTERS = 1 << 16
+#: Bits of a token that stand below its class of rarity.
+TOKEN_BITS = 58
+#: Bits of the filter by which lines are looked up again.
+BITS = 1 << 24
+#: White space within lines: all of it cuts words.
+_SPACES = "[\t\x0b\x0c\r]"
 
 
-def _words(line: Column) -> Column:
-    """64-bit hashes of the lower-cased words in order; words are cut at spaces."""
-    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, text): row tells input rows apart, doc is the id (nulls the smallest)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
 
 
-def _tokens(h: Column) -> Column:
-    """Distinct 64-bit hashes of N words in a row, of all words if there are fewer."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - N)), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(N)])))
+def _lines(texts: DataFrame) -> DataFrame:
+    """(row, doc, pos, line): lines that have words."""
+    return texts.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, pos, n, toks, cls) of each line with MIN_WORDS words: row tells input rows apart, doc is the id (nulls the smallest), cls the class."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    d = d.select("row", "doc", "pos", _words(F.col("line")).alias("h")).where(F.size("h") >= MIN_WORDS)
-    d = d.select("row", "doc", "pos", F.sort_array(_tokens(F.col("h"))).alias("toks"))
-    return d.select("row", "doc", "pos", F.size("toks").alias("n"), "toks", F.xxhash64("toks").alias("cls"))
+def _cut(line: Column) -> Column:
+    """Lower-cased words in order."""
+    spaced = F.when(line.rlike(_SPACES), F.regexp_replace(line, _SPACES, " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
-def _least_common(n: Column, percent: int) -> Column:
-    """The fewest tokens that a line of n shares with a similar one."""
-    return F.ceil(n * percent / 100)
+def _hashed(lines: DataFrame) -> DataFrame:
+    """lines with h, 64-bit hashes of their words in order."""
+    return lines.withColumn("h", F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w)))
+
+
+def _places() -> Column:
+    """Where runs of N words begin; one run for a line of fewer."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - N))
+
 
+def _run(h: Column | str, i: Column) -> Column:
+    """The run's 64-bit hash; words beyond the line's end are left out."""
+    return F.xxhash64(*[F.get(h, i + k) for k in range(N)])
 
-def rarity(t: DataFrame) -> Column:
-    """For a token x of F.transform: its class of rarity, 0 the rarest, from counts of all tokens of all lines in COUNTERS counters.
 
-    What comes to the driver and goes into the plan is one small number for each counter. Any classes give the same result.
+def rarity(texts: DataFrame) -> Column:
+    """The class of rarity of each counter, 0 the rarest, as a small array: counts of the tokens of all lines in COUNTERS counters.
+
+    A counter's class is how far it lies above the mean, in steps of four times the deviation that chance gives it. Any classes give the same result.
     """
-    counts = {r.c: r.n for r in t.select(F.explode("toks").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n")).collect()}
-    mean = max(1, sum(counts.values()) // COUNTERS)
-    text = ",".join(str((max(0, counts.get(i, 0) - mean) * 4 // mean).bit_length()) for i in range(COUNTERS))
-    return F.split(F.lit(text), ",").cast("array<bigint>")  # folds to one literal
+    h = _hashed(_lines(texts)).select("h", F.explode(_places()).alias("i"))
+    n = stored(h.select(_run("h", F.col("i")).bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n")), "rarity")
+    mean = (n.agg(F.sum("n")).first()[0] or 0) / COUNTERS
+    step = 4 * mean**0.5 + 1
+    high = {r.c: min(31, int((r.n - mean) / step).bit_length()) for r in n.where(F.col("n") >= mean + step).collect()}  # COUNTERS rows at most
+    discard(n)
+    return F.split(F.lit(",".join(str(high.get(i, 0)) for i in range(COUNTERS))), ",").cast("array<tinyint>")  # folds to one literal
+
+
+def _tokens(h: str) -> Column:
+    """Hashes of all runs of words."""
+    return F.flatten(F.transform(F.array(h), lambda a: F.transform(_places(), lambda i: _run(a, i))))
+
 
+def _ordered(tokens: Column, classes: Column) -> Column:
+    """Distinct tokens, the rarest first: a token's class stands above TOKEN_BITS bits of its hash, so numbers sort by rarity."""
+    at = lambda x: x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    one = lambda x: F.shiftleft(F.get(classes, at(x)).cast("long"), TOKEN_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - TOKEN_BITS))
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda x: F.coalesce(one(x), F.lit(0)))))  # never null: sorted as plain numbers
 
-def postings(t: DataFrame, percent: int) -> DataFrame:
-    """(tok, cls, i): each class once in the list of each token of its prefix, for lists of several classes.
 
-    i is the token's place in the class's order, 127 at most, which only loosens the bound it is used in. tok is the low half of a token: order
-    and rarity go by it alone, so tokens that agree in it share a list and are told apart when sets are compared.
+def token_sets(lines: DataFrame, classes: Column) -> DataFrame:
+    """lines with toks, and cls and alt, two digests that tell token sets apart.
+
+    A line of one token is told by a digest of its words as well: short lines are many, and a hash of 64 bits alone would in time unite some.
     """
-    classes = rarity(t)
-    order = F.transform("toks", lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(COUNTERS))), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    length = (F.col("n") - _least_common(F.col("n"), percent) + 1).cast("int")
-    p = t.select("cls", F.slice(F.sort_array(order), F.lit(1), length).alias("p")).select("cls", F.posexplode("p").alias("i", "tok"))
-    # narrow rows, as they are most of what is shuffled; all that follows here happens where a token's rows are
-    p = p.select((F.col("tok").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int").alias("tok"), "cls", F.least("i", F.lit(127)).cast("byte").alias("i"))
-    several = F.count("*").over(Window.partitionBy("tok"))
-    p = p.withColumn("c", several).where("c > 1").groupBy("tok", "cls").agg(F.min("i").alias("i"))
-    return p.withColumn("c", several).where("c > 1").select("tok", "cls", F.col("i").cast("int").alias("i"), "c")
+    t = _hashed(lines).withColumn("toks", _ordered(_tokens("h"), classes)).drop("h")
+    whole = F.when(F.size("toks") == 1, F.xxhash64(F.lit(2), F.slice(_cut(F.col("line")), 1, N))).otherwise(F.xxhash64(F.lit(1), "toks"))
+    return t.withColumn("cls", F.xxhash64("toks")).withColumn("alt", whole)
 
 
-def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """df's rows whose key is among wanted's, some others perhaps: a filter of BITS bits, fixed in size, that spares the shuffle of most other rows."""
-    k = F.pmod(F.col(key), F.lit(BITS))
-    words = wanted.select(k.alias("k")).groupBy((F.col("k") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits")).collect()
-    bits = {r.w: r.bits for r in words}
-    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
-    return df.where(F.getbit(F.get(table, (k / 64).cast("int")), (k % 64).cast("int")) == 1)
+def _least_common(n: Column | str, percent: int) -> Column:
+    """The fewest tokens that a line of n shares with a similar one."""
+    return F.ceil(F.col(n) * percent / 100).cast("int")
 
 
-def _bits(word: int) -> Column:
-    """One of two words of a token set's 128-bit outline: a bit for each token's low bits."""
-    mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * word
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseOR(one(x))).otherwise(a))
+def tokenized(texts: DataFrame, classes: Column, percent: int = PERCENT) -> DataFrame:
+    """(row, doc, pos, cls, alt, n, prefix) of each line that has words. Sets so small that none but an equal one is similar have no prefix."""
+    t = token_sets(_lines(texts), classes).withColumn("n", F.size("toks"))
+    length = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.col("n") - _least_common("n", percent) + 1).otherwise(0)
+    return t.select("row", "doc", "pos", "cls", "alt", "n", F.slice("toks", F.lit(1), length).alias("prefix"))
 
 
-def _may_be_similar(percent: int) -> Column:
-    """Length, position and outline bounds for (n, i, b0, b1) and (yn, yi, y0, y1), where the token is the first that both share.
+def postings(firsts: DataFrame) -> DataFrame:
+    """(tok, cls, i, c): each class once in the list of each token of its prefix, i its place there, for lists of c > 1 classes.
 
-    A bit of one outline that the other lacks is a token that the other lacks.
+    i is 127 at most, which only loosens the bound it is used in.
     """
+    p = firsts.select("cls", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", F.least("i", F.lit(127)).cast("byte").alias("i"))
+    return p.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1")
+
+
+def _by_length(percent: int) -> Column:
+    """Length and position bounds for (n, i) and (yn, yi), places of a token in both, the first that both share."""
     small, large = F.least("n", "yn"), F.greatest("n", "yn")
-    most = 1 + F.least(F.col("n") - F.col("i"), F.col("yn") - F.col("yi")) - 1
-    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
-    both = F.least(F.col("n") - lacks("b0", "y0") - lacks("b1", "y1"), F.col("yn") - lacks("y0", "b0") - lacks("y1", "b1"))
-    return (100 * small >= percent * large) & (F.least(most, both) * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
+    most = F.least(F.col("n") - F.col("i"), F.col("yn") - F.col("yi"))
+    return (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("n") + F.col("yn")))
+
+
+def _by_prefixes(percent: int) -> Column:
+    """A bound for (n, prefix) and (yn, yprefix): up to the earlier of both prefixes' ends all common tokens are seen, beyond it lies what the line that ends there has left."""
+    last, y_last = F.get("prefix", F.size("prefix") - 1), F.get("yprefix", F.size("yprefix") - 1)
+    beyond = F.when(last <= y_last, F.col("n") - F.size("prefix")).otherwise(F.col("yn") - F.size("yprefix"))
+    return (F.size(F.array_intersect("prefix", "yprefix")) + beyond) * (100 + percent) >= percent * (F.col("n") + F.col("yn"))
+
+
+def _among(df: DataFrame, key: Column, words: DataFrame) -> DataFrame:
+    """df's rows whose key may be among those that words (of _filter) has: a join with a table of fixed size at most."""
+    k = F.pmod(key, F.lit(BITS))
+    d = df.withColumn("_w", F.shiftright(k, 6)).withColumn("_b", k.bitwiseAND(F.lit(63)).cast("int"))
+    return d.join(F.broadcast(words), d["_w"] == words["w"]).where(F.getbit("bits", F.col("_b")) == 1).select(*df.columns)
+
+
+def _filter(keys: DataFrame) -> DataFrame:
+    """(w, bits): a bit for each key in BITS bits, words of 64 that have any: BITS / 64 rows at most, which bounds what is broadcast."""
+    k = keys.select(F.pmod("key", F.lit(BITS)).alias("k"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(F.lit(63)).cast("int"))
+    return k.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(one).alias("bits"))
+
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, classes: Column) -> DataFrame:
+    """(cls, toks) of the wanted classes (cls, doc, pos of a line of it), their lines read again and cut as before.
+
+    A filter of fixed size spares the others the work, and the join behind it is exact.
+    """
+    doc, place = F.xxhash64("doc"), F.xxhash64("doc", "pos")
+    bits = stored(_filter(wanted.select(doc.alias("key")).union(wanted.select(place.alias("key")))), "places")
+    t = _among(_lines(_among(texts, doc, bits)), place, bits)
+    t = token_sets(t, classes).select("cls", "toks").join(wanted.select("cls").distinct(), "cls", "left_semi")
+    return stored(t.groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,74 +168,65 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def similar_to_earlier(t: DataFrame, firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(x): classes whose first line has a similar line of another class before it. firsts: (cls, at)."""
-    q = stored(postings(t, percent), "lists")
-    wanted = q.select("cls").distinct()
-    sets = _only(t.select("cls", "n", "toks"), "cls", wanted).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("toks").alias("toks"))
-    sets = sets.join(firsts.select("cls", "at"), "cls").select("cls", "at", F.size("toks").alias("n"), _bits(0).alias("b0"), _bits(1).alias("b1"), "toks")
-    sets = stored(sets, "sets")
-    q = stored(q.join(sets.drop("toks"), "cls"), "lists")
+def similar_to_earlier(firsts: DataFrame, texts: DataFrame, classes: Column, percent: int = PERCENT) -> DataFrame:
+    """(x): classes whose first line has a similar line of another class before it. firsts: (cls, at, n, prefix)."""
+    q = stored(postings(firsts), "lists")
+    known = stored(firsts.join(q.select("cls").distinct(), "cls", "left_semi").select("cls", "at", "n", "prefix"), "known")
+    member = stored(q.join(known.drop("prefix"), "cls"), "members")
+    discard(q)
+    y_known = known.select(F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("prefix").alias("yprefix"))
+
+    def found(pairs: DataFrame) -> DataFrame:
+        p = stored(pairs, "pairs")
+        wanted = known.join(p.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "at.*")
+        return stored(_similar(p, _sets_of(wanted, texts, classes), percent), "found")
+
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
-    near = q.withColumn("y", F.collect_list(F.struct("cls", "n", "i", "b0", "b1")).over(before))
-    near = near.select(F.col("cls").alias("x"), "n", "i", "b0", "b1", F.explode("y").alias("y"))
-    near = near.select("x", "n", "i", "b0", "b1", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi"), F.col("y.b0").alias("y0"), F.col("y.b1").alias("y1"))
-    pairs = near.where(_may_be_similar(percent)).select("x", "y").distinct()
-    found = stored(_similar(pairs, sets, percent), "found")
-    # what stands, in lists that are longer. A pair comes up at the first token that both share: had they shared an earlier one, they would
-    # meet in its list, or have met there above
-    tokens_ = q.groupBy("cls").agg(F.collect_list(F.struct("i", "tok")).alias("all"))
-    long_ = q.where(F.col("c") > NEAREST + 1).join(tokens_, "cls")
-    long_ = long_.withColumn("sooner", F.transform(F.filter("all", lambda s: s["i"] < F.col("i")), lambda s: s["tok"])).drop("all")
-    x = long_.join(found, long_["cls"] == found["x"], "left_anti").select("tok", F.col("cls").alias("x"), F.col("at").alias("xat"), "n", "i", "b0", "b1", "sooner")
-    y = long_.select(F.col("tok").alias("ytok"), F.col("cls").alias("y"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("b0").alias("y0"), F.col("b1").alias("y1"), F.col("sooner").alias("ysooner"))
-    first_shared = ~F.coalesce(F.arrays_overlap("sooner", "ysooner"), F.lit(False))
-    rest = x.join(y, (x["tok"] == y["ytok"]) & (x["x"] != y["y"]) & (y["yat"] < x["xat"]) & _may_be_similar(percent) & first_shared).select("x", "y").distinct()
-    return found.unionByName(_similar(rest, sets, percent)).distinct()
+    near = member.withColumn("y", F.collect_list(F.struct("cls", "n", "i")).over(before)).select("cls", "n", "i", F.explode("y").alias("y"))
+    near = near.select("cls", "n", "i", F.col("y.cls").alias("y"), F.col("y.n").alias("yn"), F.col("y.i").alias("yi")).where(_by_length(percent)).select("cls", "y").distinct()
+    one = found(near.join(known.drop("at"), "cls").join(y_known, "y").where(_by_prefixes(percent)).select(F.col("cls").alias("x"), "y"))
+    # what stands, in lists that are longer: a pair comes up at the first token that both share
+    long_ = member.where(F.col("c") > NEAREST + 1).drop("c").join(known.select("cls", "prefix"), "cls")
+    x = long_.join(one, long_["cls"] == one["x"], "left_anti")
+    y = long_.select(*[F.col(c).alias("y" + c) for c in long_.columns])
+    meet = (x["tok"] == y["ytok"]) & (x["cls"] != y["ycls"]) & (y["yat"] < x["at"]) & _by_length(percent)
+    rest = x.join(y, meet & (F.get(F.array_intersect("prefix", "yprefix"), F.lit(0)) == F.col("tok")) & _by_prefixes(percent))
+    return one.unionByName(found(rest.select(F.col("cls").alias("x"), F.col("ycls").alias("y")).distinct())).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(row, gone): for each input row (by tokenized's row) with lines to be removed, their places, ascending."""
-    t = stored(tokenized(docs, id_col, text_col), "lines")
+    """(row, gone): for each input row (by the row of _texts) with lines to be removed, their places, ascending."""
+    texts = _texts(docs, id_col, text_col)
+    classes = rarity(texts)
+    t = stored(tokenized(texts, classes, percent), "lines")
     # equal lines: all but the first; partial minima before the shuffle, and only classes that matter come back to the lines
-    firsts = stored(t.groupBy("cls").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c")), "firsts")
-    earlier = similar_to_earlier(t, firsts, percent).select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
-    act = firsts.join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole")).select(F.col("cls").alias("k"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
-    gone = t.select("row", "doc", "pos", "cls").join(act, F.col("cls") == F.col("k")).where(F.col("whole") | (F.struct("doc", "pos") > F.col("at")))
+    firsts = t.groupBy("cls", "alt").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    firsts = stored(firsts, "firsts")
+    t = t.select("row", "doc", "pos", "cls", "alt")
+    earlier = similar_to_earlier(firsts.where(F.size("prefix") > 0), texts, classes, percent)
+    earlier = earlier.select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
+    act = firsts.select("cls", "alt", "at", "c").join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole"))
+    act = act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
+    gone = t.join(act, (t["cls"] == act["k"]) & (t["alt"] == act["k2"])).where(F.col("whole") | (F.struct("doc", "pos") > F.col("at")))
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def with_new_short_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row): input rows (by tokenized's row) with a line that has words, too few to be compared, and comes here first.
-
-    Such a line is one token of all its words, cut at all white space.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    d = d.where(~F.col("line").rlike(COMPARED) & F.col("line").rlike(r"\S"))
-    whole = F.xxhash64(F.array_remove(F.split(F.lower("line"), r"\s+"), ""))
-    return d.groupBy(whole.alias("whole")).agg(F.min(F.struct("doc", "pos", "row")).alias("at")).select("at.row").distinct()
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, mark_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The input with two more columns: gone, places of the removed lines (empty array if none), and kept, the text of the others.
 
-    With mark_copies also copy: whether lines are gone and those left, if any have words, are too short to be compared and all come earlier.
-
-    Order is by id, then by place in the text. Lines of fewer than MIN_WORDS words stay, so do empty lines and texts; a null text stays null.
+    Order is by id, then by place in the text. A line of fewer than N words is removed if an equal one (words and case apart from white space and
+    capitals) comes earlier; lines without words stay, so do empty texts; a null text stays null.
     Rows with one id are one document's: the same line at the same place of repeated rows is no earlier line. Null ids come first.
-    A text whose lines all go is the empty string. Extra columns stay as they are.
+    A text whose lines all go is the empty string. Texts and lines of any length are read whole. An empty table gives an empty one.
+    Extra columns stay as they are, apart from any named gone or kept, which are replaced.
     """
-    gone = removed_lines(docs, id_col, text_col, percent).withColumnRenamed("row", "_gone_row")
-    if mark_copies:  # joined to the places, so that texts are shuffled once
-        new = with_new_short_lines(docs, id_col, text_col)
-        gone = gone.join(new, gone["_gone_row"] == new["row"], "left").select("_gone_row", "gone", F.col("row").isNull().alias("copy"))
-    d = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    d = d.join(gone, d["_row"] == gone["_gone_row"], "left").drop("_row", "_gone_row")
-    d = d.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    d = d.withColumn("kept", F.when(F.size("gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return d.withColumn("copy", F.coalesce("copy", F.lit(False)) & ~F.coalesce(F.col("kept").rlike(COMPARED), F.lit(False))) if mark_copies else d
+    found = removed_lines(docs, id_col, text_col, percent).select(F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
+    text = docs[text_col]
+    d = docs.join(found, F.xxhash64(docs[id_col], F.coalesce(text.cast("string"), F.lit(""))) == found["_gone_row"], "left")
+    gone = F.coalesce(found["_gone"], F.array().cast("array<int>"))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    others = [docs[c] for c in docs.columns if c not in ("gone", "kept")]
+    return d.select(*others, gone.alias("gone"), F.when(F.size(gone) == 0, text).otherwise(kept).alias("kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -199,11 +242,11 @@ WITH lines AS (
   SELECT doc_id, u.pos - 1 AS pos, string_split(text, chr(10))[u.pos] AS line
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos) u
 ), words AS (
-  SELECT doc_id, pos, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w
+  SELECT doc_id, pos, list_filter(string_split(lower(regexp_replace(line, '[\t\x0B\x0C\r]', ' ', 'g')), ' '), lambda w: w <> '') AS w
   FROM lines
 ), toks AS (
   SELECT doc_id, pos, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS t
-  FROM words WHERE len(w) >= 5
+  FROM words WHERE len(w) > 0
 ), classes AS (
   SELECT t, min(doc_id * 1000000 + pos) AS att, row_number() OVER () AS c FROM toks GROUP BY t
 ), posted AS (SELECT c, att, len(t) AS n, unnest(t) AS tok FROM classes
