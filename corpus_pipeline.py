@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are equal or similar to earlier ones go; so do documents that lose lines and have only earlier short ones left, or none: they were copies."""
-    d = line_dedup.dedup_lines(docs.select(*COLUMNS), mark_copies=True).where("not copy")
+    """Lines that are equal or similar to earlier ones go; so do documents that lose lines and have no word left: they were copies."""
+    d = line_dedup.dedup_lines(docs.select(*COLUMNS)).where((F.size("gone") == 0) | F.col("kept").rlike(r"\S"))
     return d.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
