@@ -23,34 +23,40 @@ N, PERCENT = 5, 80
 NEAREST = 10
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus.
 COUNTERS = 1 << 16
-#: Bits of a token that stand below its class of rarity.
+#: Bits of a token by which lists are told apart; its class of rarity stands above them. Sets are compared by all 64.
 TOKEN_BITS = 58
 #: Bits of the filter by which lines are looked up again.
-BITS = 1 << 24
+BITS = 1 << 22
 #: White space within lines: all of it cuts words.
-_SPACES = "[\t\x0b\x0c\r]"
+_SPACES = "\t\x0b\x0c\r"
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc, text): row tells input rows apart, doc is the id (nulls the smallest)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """(row, doc, pos, line): lines that have words."""
-    return texts.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+def _evened(rows: DataFrame) -> DataFrame:
+    """rows with the text in lower case, all white space but line ends a space."""
+    others = [F.contains("text", F.lit(c)) for c in _SPACES]
+    spaced = F.when(others[0] | others[1] | others[2] | others[3], F.regexp_replace("text", f"[{_SPACES}]", " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", F.lower(spaced))
 
 
-def _cut(line: Column) -> Column:
-    """Lower-cased words in order."""
-    spaced = F.when(line.rlike(_SPACES), F.regexp_replace(line, _SPACES, " ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(spaced), " "), "")
+def _lines(rows: DataFrame) -> DataFrame:
+    """(row, doc, pos, line): lines that have words, evened."""
+    return _evened(rows).select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
+
+
+def _words() -> Column:
+    """A line's words in order."""
+    return F.array_remove(F.split("line", " "), "")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """lines with h, 64-bit hashes of their words in order."""
-    return lines.withColumn("h", F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.withColumn("h", F.transform(_words(), lambda w: F.xxhash64(w)))
 
 
 def _places() -> Column:
@@ -63,18 +69,18 @@ def _run(h: Column | str, i: Column) -> Column:
     return F.xxhash64(*[F.get(h, i + k) for k in range(N)])
 
 
-def rarity(texts: DataFrame) -> Column:
-    """The class of rarity of each counter, 0 the rarest, as a small array: counts of the tokens of all lines in COUNTERS counters.
+def rarity(rows: DataFrame) -> Column:
+    """The class of rarity of each counter, 0 the rarest, above TOKEN_BITS bits, as an array: counts of the tokens of all lines in COUNTERS counters.
 
     A counter's class is how far it lies above the mean, in steps of four times the deviation that chance gives it. Any classes give the same result.
     """
-    h = _hashed(_lines(texts)).select("h", F.explode(_places()).alias("i"))
-    n = stored(h.select(_run("h", F.col("i")).bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n")), "rarity")
+    h = _hashed(_lines(rows)).select("h", F.explode(_places()).alias("i"))
+    n = stored(h.select(_counter(_run("h", F.col("i"))).alias("c")).groupBy("c").agg(F.count("*").alias("n")), "rarity")
     mean = (n.agg(F.sum("n")).first()[0] or 0) / COUNTERS
     step = 4 * mean**0.5 + 1
     high = {r.c: min(31, int((r.n - mean) / step).bit_length()) for r in n.where(F.col("n") >= mean + step).collect()}  # COUNTERS rows at most
     discard(n)
-    return F.split(F.lit(",".join(str(high.get(i, 0)) for i in range(COUNTERS))), ",").cast("array<tinyint>")  # folds to one literal
+    return F.split(F.lit(",".join(str(high.get(i, 0) << TOKEN_BITS) for i in range(COUNTERS))), ",").cast("array<bigint>")  # folds to one literal
 
 
 def _tokens(h: str) -> Column:
@@ -82,20 +88,30 @@ def _tokens(h: str) -> Column:
     return F.flatten(F.transform(F.array(h), lambda a: F.transform(_places(), lambda i: _run(a, i))))
 
 
-def _ordered(tokens: Column, classes: Column) -> Column:
-    """Distinct tokens, the rarest first: a token's class stands above TOKEN_BITS bits of its hash, so numbers sort by rarity."""
-    at = lambda x: x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    one = lambda x: F.shiftleft(F.get(classes, at(x)).cast("long"), TOKEN_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - TOKEN_BITS))
-    return F.sort_array(F.array_distinct(F.transform(tokens, lambda x: F.coalesce(one(x), F.lit(0)))))  # never null: sorted as plain numbers
+def _counter(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+
+
+def _with_prefix(t: DataFrame, classes: Column) -> DataFrame:
+    """t with prefix, the length rarest of toks (ascending), as numbers that sort by class of rarity, then by hash.
+
+    Those of class 0 among the first serve if they are enough, else all are sorted by class.
+    """
+    some = F.when(F.col("length") == 0, 0).otherwise((F.col("length") * 5 / 4).cast("int") + 4)
+    t = t.withColumn("first", F.filter(F.slice("toks", F.lit(1), some), lambda x: F.get(classes, _counter(x)) == 0))
+    # never null, so that they are sorted as plain numbers
+    every = F.sort_array(F.transform("toks", lambda x: F.coalesce(F.get(classes, _counter(x)) + F.shiftright(x, 64 - TOKEN_BITS), F.lit(0))))
+    rare = F.transform(F.slice("first", F.lit(1), "length"), lambda x: F.shiftright(x, 64 - TOKEN_BITS))
+    return t.withColumn("prefix", F.when(F.size("first") >= F.col("length"), rare).otherwise(F.slice(every, F.lit(1), "length")))
 
 
-def token_sets(lines: DataFrame, classes: Column) -> DataFrame:
-    """lines with toks, and cls and alt, two digests that tell token sets apart.
+def token_sets(lines: DataFrame) -> DataFrame:
+    """lines with toks, distinct and ascending, and cls and alt, two digests that tell token sets apart.
 
     A line of one token is told by a digest of its words as well: short lines are many, and a hash of 64 bits alone would in time unite some.
     """
-    t = _hashed(lines).withColumn("toks", _ordered(_tokens("h"), classes)).drop("h")
-    whole = F.when(F.size("toks") == 1, F.xxhash64(F.lit(2), F.slice(_cut(F.col("line")), 1, N))).otherwise(F.xxhash64(F.lit(1), "toks"))
+    t = _hashed(lines).withColumn("toks", F.sort_array(F.array_distinct(_tokens("h")))).drop("h")
+    whole = F.when(F.size("toks") == 1, F.xxhash64(F.lit(2), F.slice(_words(), 1, N))).otherwise(F.xxhash64(F.lit(1), "toks"))
     return t.withColumn("cls", F.xxhash64("toks")).withColumn("alt", whole)
 
 
@@ -104,11 +120,11 @@ def _least_common(n: Column | str, percent: int) -> Column:
     return F.ceil(F.col(n) * percent / 100).cast("int")
 
 
-def tokenized(texts: DataFrame, classes: Column, percent: int = PERCENT) -> DataFrame:
+def tokenized(rows: DataFrame, classes: Column, percent: int = PERCENT) -> DataFrame:
     """(row, doc, pos, cls, alt, n, prefix) of each line that has words. Sets so small that none but an equal one is similar have no prefix."""
-    t = token_sets(_lines(texts), classes).withColumn("n", F.size("toks"))
-    length = F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.col("n") - _least_common("n", percent) + 1).otherwise(0)
-    return t.select("row", "doc", "pos", "cls", "alt", "n", F.slice("toks", F.lit(1), length).alias("prefix"))
+    t = token_sets(_lines(rows)).withColumn("n", F.size("toks"))
+    t = t.withColumn("length", F.when(100 * F.col("n") >= percent * (F.col("n") + 1), F.col("n") - _least_common("n", percent) + 1).otherwise(0))
+    return _with_prefix(t, classes).select("row", "doc", "pos", "cls", "alt", "n", "prefix")
 
 
 def postings(firsts: DataFrame) -> DataFrame:
@@ -148,15 +164,15 @@ def _filter(keys: DataFrame) -> DataFrame:
     return k.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(one).alias("bits"))
 
 
-def _sets_of(wanted: DataFrame, texts: DataFrame, classes: Column) -> DataFrame:
+def _sets_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """(cls, toks) of the wanted classes (cls, doc, pos of a line of it), their lines read again and cut as before.
 
     A filter of fixed size spares the others the work, and the join behind it is exact.
     """
     doc, place = F.xxhash64("doc"), F.xxhash64("doc", "pos")
     bits = stored(_filter(wanted.select(doc.alias("key")).union(wanted.select(place.alias("key")))), "places")
-    t = _among(_lines(_among(texts, doc, bits)), place, bits)
-    t = token_sets(t, classes).select("cls", "toks").join(wanted.select("cls").distinct(), "cls", "left_semi")
+    t = _among(_lines(_among(rows, doc, bits)), place, bits)
+    t = token_sets(t).select("cls", "toks").join(wanted.select("cls").distinct(), "cls", "left_semi")
     return stored(t.groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
 
 
@@ -168,7 +184,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def similar_to_earlier(firsts: DataFrame, texts: DataFrame, classes: Column, percent: int = PERCENT) -> DataFrame:
+def similar_to_earlier(firsts: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x): classes whose first line has a similar line of another class before it. firsts: (cls, at, n, prefix)."""
     q = stored(postings(firsts), "lists")
     known = stored(firsts.join(q.select("cls").distinct(), "cls", "left_semi").select("cls", "at", "n", "prefix"), "known")
@@ -179,7 +195,7 @@ def similar_to_earlier(firsts: DataFrame, texts: DataFrame, classes: Column, per
     def found(pairs: DataFrame) -> DataFrame:
         p = stored(pairs, "pairs")
         wanted = known.join(p.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "at.*")
-        return stored(_similar(p, _sets_of(wanted, texts, classes), percent), "found")
+        return stored(_similar(p, _sets_of(wanted, rows), percent), "found")
 
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
     near = member.withColumn("y", F.collect_list(F.struct("cls", "n", "i")).over(before)).select("cls", "n", "i", F.explode("y").alias("y"))
@@ -195,15 +211,14 @@ def similar_to_earlier(firsts: DataFrame, texts: DataFrame, classes: Column, per
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(row, gone): for each input row (by the row of _texts) with lines to be removed, their places, ascending."""
-    texts = _texts(docs, id_col, text_col)
-    classes = rarity(texts)
-    t = stored(tokenized(texts, classes, percent), "lines")
+    """(row, gone): for each input row (by the row of _rows) with lines to be removed, their places, ascending."""
+    rows = _rows(docs, id_col, text_col)
+    t = stored(tokenized(rows, rarity(rows), percent), "lines")
     # equal lines: all but the first; partial minima before the shuffle, and only classes that matter come back to the lines
     firsts = t.groupBy("cls", "alt").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     firsts = stored(firsts, "firsts")
     t = t.select("row", "doc", "pos", "cls", "alt")
-    earlier = similar_to_earlier(firsts.where(F.size("prefix") > 0), texts, classes, percent)
+    earlier = similar_to_earlier(firsts.where(F.size("prefix") > 0), rows, percent)
     earlier = earlier.select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     act = firsts.select("cls", "alt", "at", "c").join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole"))
     act = act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
