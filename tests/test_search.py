@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from unitloom.functions import scoring as S
@@ -9,6 +11,7 @@ from unitloom.functions import text as T
 from unitloom.operators import evaluation as E
 from unitloom.operators import pool as P
 from unitloom.operators import retrieval as R
+from unitloom.sources.views import mean_vectors
 
 
 def value(spark, column):
@@ -52,17 +55,34 @@ def test_labels(spark):
 
 def test_auc_of_swapped_labels_adds_to_one_and_one_class_has_none(spark):
     s = spark.createDataFrame([(0, 0.1, 1), (0, 0.1, 0), (0, 0.7, 1), (0, 0.3, 0), (1, 0.5, 1)], "g int, score double, label int")
-    a = {r.g: r.auc for r in E.roc_auc(s, ["g"]).collect()}
-    b = {r.g: r.auc for r in E.roc_auc(s.withColumn("label", 1 - F.col("label")), ["g"]).collect()}
+    a = {r.g: r.auc for r in E.roc_auc(s, [["g"]]).collect()}
+    b = {r.g: r.auc for r in E.roc_auc(s.withColumn("label", 1 - F.col("label")), [["g"]]).collect()}
     assert math.isclose(a[0] + b[0], 1) and a[1] is None
 
 
-def test_nearest_same_by_matrix_and_by_join(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [48, 1])
+def test_nearest_same_by_matrix_and_in_blocks(spark, limit):
     left = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0]) for i in range(12)], "k long, emb array<double>")
-    right = spark.createDataFrame([(i, [float(i % 4), float(i % 2), 0.5]) for i in range(9)], "b int, emb array<double>")
+    right = spark.createDataFrame([(i, [float(i % 4), float(i % 2), 0.5]) for i in range(9)], "b int, emb array<double>").repartition(3)
     one = sorted(map(tuple, R.nearest(left, ["k"], right, "b", 3).collect()))
-    monkeypatch.setattr(R, "MATRIX_ROWS", 2)
-    assert one == sorted(map(tuple, R.nearest(left, ["k"], right, "b", 3).collect()))
+    assert one == sorted(map(tuple, R.nearest(left, ["k"], right, "b", 3, limit=limit).collect())) and len(one) == 36
+    assert R.nearest(left, ["k"], right.limit(0), "b", 3).count() == 0 and R.nearest(left.limit(0), ["k"], right, "b", 3, limit=limit).count() == 0
+
+
+def test_weighted_mean_falls_back_without_weight(spark):
+    u = spark.createDataFrame([(0, [1.0, 0.0], 3.0), (0, [0.0, 1.0], 1.0), (1, [1.0, 0.0], 0.0), (1, [0.0, 1.0], 0.0)], "g int, emb array<double>, w double")
+    got = {r.g: [round(x, 6) for x in r.emb] for r in mean_vectors(u, ["g"], "w").collect()}
+    assert got == {0: [0.948683, 0.316228], 1: [0.707107, 0.707107]}
+
+
+def test_queries_without_anchors_keep_their_order(spark):
+    cols = "query_id long, func_id long, score double, slice_channel double, global_sim double, slice_score double, binary_name string, func_addr string"
+    d = spark.createDataFrame([(q, f, 1 - f / 10, 0.5, 0.5, 0.5, "b", str(f)) for q in (0, 1) for f in (1, 2, 3)], cols)
+    pool = spark.createDataFrame([(3, "CALL", "open"), (2, "CONST", "57600")], "func_id long, channel string, token string")
+    asked = spark.createDataFrame([(0, "CALL", "open"), (0, "CALL", "unknown")], "query_id long, channel string, token string")
+    idf = spark.createDataFrame([("CALL", "open", 2.0), ("CONST", "57600", 2.0)], "channel string, token string, idf double")
+    got = {(r.query_id, r.func_id): (r.rank, round(r.dice, 5)) for r in R.promoted(d, pool, asked, idf).collect()}
+    assert got == {(0, 3): (1, 1.0), (0, 1): (2, 0.0), (0, 2): (3, 0.0), (1, 1): (1, 0.0), (1, 2): (2, 0.0), (1, 3): (3, 0.0)}
 
 
 def loop(inv, truth, size):

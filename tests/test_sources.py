@@ -48,3 +48,12 @@ def test_centroids_by_both_metrics(spark):
         c = training.centroids(u, 3, 60, metric).collect()
         assert len(c) == 3 and sorted(max(range(3), key=lambda i, r=r: r.emb[i]) for r in c) == [0, 1, 2]
     assert training.transform(u, 2).select(F.size("emb").alias("n")).first().n == 2
+
+
+def test_results_are_written_as_json(spark, tmp_path):
+    m = spark.createDataFrame([(None, 2, 0.5), (1, 1, 1.0)], "gt_type int, queries long, recall_1 double")
+    d = spark.createDataFrame([(1, "x")], "query_id long, miss_reason string")
+    tables.write_results(str(tmp_path), m, d, d)
+    rows = [json.loads(line) for f in (tmp_path / "metrics").glob("part-*") for line in f.read_text().splitlines()]
+    assert sorted(rows, key=str) == sorted([{"gt_type": None, "queries": 2, "recall_1": 0.5}, {"gt_type": 1, "queries": 1, "recall_1": 1.0}], key=str)
+    assert {p.name for p in tmp_path.iterdir()} == {"metrics", "misses", "details"}

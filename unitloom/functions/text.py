@@ -160,7 +160,7 @@ def parse_label(text: Column) -> Column:
     has = F.instr(up, F.lit("ANSWER:")) > 0
     tail = F.substring(up, at + 8, F.lit(40))
     named = F.when(F.contains(tail, F.lit(LABELS[0])), 0).when(F.contains(tail, F.lit(LABELS[1])), 1).when(F.contains(tail, F.lit(LABELS[2])), 2)
-    first = F.substring(F.ltrim(tail), 1, 1)
+    first = F.regexp_extract(tail, r"^\s*(\S)", 1)
     letter = F.when(first == "N", 0).when(first == "H", 1).when(first == "I", 2)
 
     def last(label: str) -> Column:  # place of the label's last occurrence, 0 if none

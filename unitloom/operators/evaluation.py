@@ -36,13 +36,16 @@ def misses(ranks: DataFrame, touched: DataFrame, keys: DataFrame, k: int) -> Dat
     return m.select("query_id", "gt_type", "gt_rank", F.when(F.col("seen"), "ranked_out").otherwise("not_touched").alias("miss_reason"))
 
 
-def roc_auc(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the curve of (score, label) by groups: rank sums with mean ranks for ties, NaN without both classes."""
-    w = Window.partitionBy(*by).orderBy("score")
-    d = scores.withColumn("_n", F.row_number().over(w)).withColumn("_rank", F.avg("_n").over(Window.partitionBy(*by, "score")))
-    p, n = F.sum("label"), F.count("*") - F.sum("label")
-    area = (F.sum(F.when(F.col("label") == 1, F.col("_rank"))) - p * (p + 1) / 2) / F.nullif((p * n).cast("double"), F.lit(0.0))
-    return d.groupBy(*by).agg(p.cast("long").alias("positives"), n.cast("long").alias("negatives"), area.alias("auc"))
+def roc_auc(scores: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """Area under the curve of (score, label) for each grouping set: a pair counts 1 if the positive is higher, half if both tie; null without both classes.
+
+    Rows are counted by score first, so that only distinct scores are put in order.
+    """
+    by = sorted({c for x in sets for c in x})
+    d = scores.groupingSets([[*map(F.col, x), F.col("score")] for x in sets], *by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    return d.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum("won") / F.nullif((F.sum("p") * F.sum("n")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
@@ -52,6 +55,30 @@ def roc_points(scores: DataFrame) -> DataFrame:
     return d.select("score", (F.sum("n").over(w) / F.greatest(F.lit(1), F.sum("n").over(all_))).alias("fpr"), (F.sum("p").over(w) / F.greatest(F.lit(1), F.sum("p").over(all_))).alias("tpr"))
 
 
+def curve_on_grid(points: DataFrame, steps: int = 100) -> DataFrame:
+    """g, tpr: the curve from (0, 0) at steps + 1 evenly spaced false positive rates, straight between points; of points with one rate the last holds."""
+    spark = points.sparkSession
+    p = points.select("fpr", "tpr").unionByName(spark.createDataFrame([(0.0, 0.0)], "fpr double, tpr double")).groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("tpr"))
+    w = Window.orderBy("fpr")
+    p = p.withColumn("next", F.lead("fpr").over(w)).withColumn("next_low", F.lead("low").over(w))
+    # each stretch between points brings its own grid places
+    first, last = F.ceil(F.col("fpr") * steps - 1e-9), F.when(F.col("next").isNull(), F.lit(steps)).otherwise(F.ceil(F.col("next") * steps - 1e-9) - 1)
+    p = p.where(last >= first).withColumn("i", F.explode(F.sequence(first, last))).withColumn("g", F.col("i") / steps)
+    slope = F.coalesce((F.col("next_low") - F.col("tpr")) / (F.col("next") - F.col("fpr")), F.lit(0.0))
+    return p.select("g", (F.col("tpr") + slope * (F.col("g") - F.col("fpr"))).alias("tpr"))
+
+
+def above_truth(ranked: DataFrame, keys: DataFrame) -> DataFrame:
+    """ranked rows of queries whose best key is ranked, but not first: that key (label 1) and all that stand above it (label 0)."""
+    best = ranked.join(keys.select("query_id", "func_id").distinct(), ["query_id", "func_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("gt_rank")).where("gt_rank > 1")
+    return ranked.join(best, "query_id").where(F.col("rank") <= F.col("gt_rank")).withColumn("label", (F.col("rank") == F.col("gt_rank")).cast("int")).drop("gt_rank")
+
+
+def cutoffs(top_k: int) -> list[int]:
+    """The cutoffs up to top_k, and top_k itself."""
+    return sorted({k for k in CUTOFFS if k <= top_k} | {top_k})
+
+
 def norm01(c: str, by: list[str]) -> Column:
     """Scaled to [0, 1] within groups; 0 where the range is below 1e-9."""
     w = Window.partitionBy(*by)

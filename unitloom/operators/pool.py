@@ -24,9 +24,28 @@ def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.orderBy(pick_order(*key), *key).limit(n)
 
 
-def first_by_priority(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+def first_by_priority(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def long_enough(queries: DataFrame, inventory: DataFrame, min_lines: int = 8) -> DataFrame:
+    """Queries but those whose truth has at most min_lines lines; a truth that the inventory lacks stays."""
+    short = inventory.where(F.col("n_lines") <= min_lines).select(F.col("binary_name").alias("gt_binary"), F.col("func_addr").alias("gt_addr"))
+    return queries.join(short, ["gt_binary", "gt_addr"], "left_anti").select(*queries.columns)
+
+
+def exclusion_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many (binary_name, func_name) each rule excludes, all of them together, and each after the first alone, beyond those before it."""
+    order = list(parts)
+    tagged = None
+    for i, name in enumerate(order):
+        t = parts[name].select("binary_name", "func_name", F.lit(i).alias("rule"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    each = tagged.groupBy("binary_name", "func_name").agg(F.collect_set("rule").alias("rules"))
+    has = lambda i: F.array_contains("rules", i)
+    counts = [F.count_if(has(i)).alias(n) for i, n in enumerate(order)]
+    return each.agg(*counts, F.count("*").alias("either"), *[F.count_if(F.array_min("rules") == i).alias(f"{n}_alone") for i, n in enumerate(order) if i])
 
 
 def multi_target(queries: DataFrame) -> DataFrame:
@@ -93,4 +112,5 @@ def substituted(broken: DataFrame, donors: DataFrame, wanted: DataFrame) -> Data
     # any donor: a fixed number of buckets spreads the keys, and the bucket's least donor serves
     buckets = donors.withColumn("b", F.pmod(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long"), F.lit(4))).groupBy("b").agg(F.min("key").alias("any_donor"))
     d = broken.join(named, "key", "left").withColumn("b", F.pmod(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long"), F.lit(4))).join(buckets, "b", "left")
-    return d.select("key", "func_name", F.coalesce("donor", "any_donor").alias("donor"))
+    least = donors.agg(F.min("key")).first()[0]  # serves the buckets that have no donor
+    return d.select("key", "func_name", F.coalesce("donor", "any_donor", F.lit(least)).alias("donor"))

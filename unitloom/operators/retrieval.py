@@ -13,49 +13,87 @@ from ..functions.scoring import posting_order, posting_signal, query_weight, ran
 from ..functions.vectors import clip01, dot
 from ..sources.views import bounded
 
-#: Vectors of a side that may be broadcast as a matrix; beyond that the pairs go through a join.
-MATRIX_ROWS = 200_000
+#: Bytes of a side's vectors that go out as one matrix at most.
+MATRIX_BYTES = 64 << 20
 # fixed values: fusion weights
 EXCESS, BASE, GLOBAL_LOW, GLOBAL_HIGH, UNIT_LOW, UNIT_HIGH = 0.80, 0.05, 0.05, 0.65, 0.30, 0.85
 HUGE_BASE, HUGE_UNIT, HUGE_GLOBAL, HUGE_PENALTY = 0.05, 0.70, 0.05, 0.30
 
 
-def nearest(left: DataFrame, keys: list[str], right: DataFrame, right_key: str, k: int, digits: int = 6) -> DataFrame:
-    """keys, rank (from 0), right_key, sim: the k right vectors with the largest inner products, rounded; ties by right_key.
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, ties by id."""
+    return np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    The right side goes out as one matrix if its size allows, and each Arrow batch of left vectors is one product; else
-    tasks over the right side keep their own k best of each left vector, which one window then merges.
-    """
-    kinds = dict(left.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"rank int, {right_key} {dict(right.dtypes)[right_key]}, sim double"])
 
-    def best(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        o = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)
-        return o[:, :k]
+def nearest(left: DataFrame, keys: list[str], right: DataFrame, right_key: str, k: int, digits: int = 6, limit: int = MATRIX_BYTES) -> DataFrame:
+    """keys, rank (from 0), right_key, sim: the k right vectors with the largest inner products, rounded; ties by right_key.
 
-    if bounded(right, MATRIX_ROWS):
-        rows = right.select(right_key, "emb").collect()
-        held = left.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+    If the right side's vectors fit in limit bytes, they go out as one matrix, and each Arrow batch of left vectors is one product.
+    Else the left side goes out in blocks of so many bytes; each task over the right side keeps its own k best for each
+    left vector, and one window merges those.
+    """
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    spark = left.sparkSession
+    left = left.select(*keys, F.col("emb").cast("array<double>").alias("emb"))
+    right = right.select(right_key, F.col("emb").cast("array<double>").alias("emb"))
+    dims = right.select(F.size("emb").alias("n")).first()
+    rows = max(1, limit // (8 * max(1, dims.n if dims else 1)))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"rank int, {right_key} {kinds[right_key]}, sim double"])
+    arrow = pa.int32() if kinds[right_key] == "int" else pa.int64() if kinds[right_key] == "bigint" else pa.string()
+    if bounded(right, rows):
+        t = right.toArrow()
+        held = spark.sparkContext.broadcast((t.column(right_key).to_numpy(), _matrix(t.column("emb").combine_chunks()) if t.num_rows else None))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
+            for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+                if not len(ids):
                     continue
-                v = np.stack(b.column(len(keys)).to_numpy(zero_copy_only=False))
-                sims = np.round(v @ matrix.T, digits) + 0.0
-                top = best(sims, ids)
+                sims = np.round(_matrix(b.column(len(keys))) @ matrix.T, digits) + 0.0
+                top = _best(sims, ids, k)
                 n = top.shape[1]
                 cols = [c.take(pa.array(np.repeat(np.arange(b.num_rows), n))) for c in b.columns[: len(keys)]]
-                cols += [pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())]
+                cols += [pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)), pa.array(ids[top].ravel()).cast(arrow), pa.array(np.take_along_axis(sims, top, 1).ravel())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, "rank", right_key, "sim"])
 
-        r = left.select(*keys, F.col("emb").cast("array<double>").alias("emb"))
-        out = r.mapInArrow(work, schema.replace(f"{right_key} int", f"{right_key} long"))
-        return out.withColumn(right_key, F.col(right_key).cast(dict(right.dtypes)[right_key]))
-    pairs = left.select(*keys, F.col("emb").alias("le")).join(right.select(right_key, F.col("emb").alias("re")))
+        return left.mapInArrow(work, schema)
+    blocks = -(-left.count() // rows)
+    found = None
+    for i in range(max(1, blocks)):
+        part = _nearest_block(left.where(F.pmod(F.xxhash64(*keys), F.lit(max(1, blocks))) == i), keys, right, right_key, k, digits, schema, arrow)
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy(*keys).orderBy(F.desc("sim"), right_key)
-    return pairs.withColumn("sim", F.round(dot(F.col("le"), F.col("re")), digits)).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(*keys, "rank", right_key, "sim")
+    return found.drop("rank").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select(*keys, (F.col("n") - 1).alias("rank"), right_key, "sim")
+
+
+def _nearest_block(left: DataFrame, keys: list[str], right: DataFrame, right_key: str, k: int, digits: int, schema: str, arrow: pa.DataType) -> DataFrame:
+    """Each task's k best right vectors for each vector of a block of left ones."""
+    t = left.toArrow().combine_chunks()
+    held = left.sparkSession.sparkContext.broadcast((t.select(keys), _matrix(t.column("emb").combine_chunks()) if t.num_rows else None))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = held.value
+        if matrix is None:
+            return
+        sims, ids = np.zeros((len(matrix), 0)), np.zeros((len(matrix), 0), object)
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            mine = b.column(0).to_numpy(zero_copy_only=False)
+            sims = np.concatenate([sims, np.round(matrix @ _matrix(b.column(1)).T, digits) + 0.0], axis=1)
+            ids = np.concatenate([ids, np.broadcast_to(mine, (len(matrix), len(mine)))], axis=1)
+            o = np.stack([np.lexsort((i, -s)) for i, s in zip(ids, sims, strict=True)])[:, :k]
+            sims, ids = np.take_along_axis(sims, o, 1), np.take_along_axis(ids, o, 1)
+        n = sims.shape[1]
+        if n:
+            cols = [c.combine_chunks().take(pa.array(np.repeat(np.arange(len(matrix)), n))) for c in names.columns]
+            cols += [pa.array(np.zeros(n * len(matrix), np.int32)), pa.array(ids.ravel().tolist(), arrow), pa.array(sims.ravel())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names.column_names, "rank", right_key, "sim"])
+
+    return right.mapInArrow(work, schema)
 
 
 def bucket_hits(units: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
@@ -146,21 +184,43 @@ def stage_a(profile: DataFrame, centroids: DataFrame, post: DataFrame, stats: Da
     return f.withColumn("a_rank", F.row_number().over(w)).where(F.col("a_rank") <= limit)
 
 
+#: A row counts as highly similar from here; a row or unit takes part in a match from this share of the best and above this floor.
+HIGH, SHARE, FLOOR = 0.5, 0.5, 0.2
+_EVIDENCE = ("q2f", "q2f_idf", "f2q", "f2q_idf", "conn")
+
+
+def matched(cand: DataFrame, profile: DataFrame, units: DataFrame, idf: DataFrame) -> DataFrame:
+    """query_id, func_id, evidence of both directions, and how many rows and units take part: one small product for each candidate, in Arrow batches."""
+    u = units.select("func_id", "pos", "emb").join(idf, ["func_id", "pos"]).groupBy("func_id").agg(F.sort_array(F.collect_list(F.struct("pos", "emb", F.col("unit_idf").alias("i")))).alias("u"))
+    u = u.select("func_id", F.flatten("u.emb").alias("ue"), F.col("u.i").alias("ui"))
+    q = profile.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("r", "emb", "w"))).alias("q"))
+    q = q.select("query_id", F.flatten("q.emb").alias("qe"), F.col("q.w").alias("qw"), F.col("q.r").cast("array<double>").alias("qr"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for ue, ui, qe, qw, qr in zip(*((x.values.to_numpy(zero_copy_only=False) for x in c) for c in b.columns[2:]), strict=True):
+                sim = np.clip(qe.reshape(len(qw), -1) @ ue.reshape(len(ui), -1).T, 0.0, 1.0)
+                row, unit = sim.max(1), sim.max(0)
+                high = qr[row >= HIGH]
+                out.append((
+                    (qw * row).sum() / max(1e-6, qw.sum()), (qw * (sim * ui).max(1)).sum() / max(1e-6, qw.sum()), unit.mean(), (ui * unit).sum() / max(1e-6, ui.sum()),
+                    1.0 if len(high) <= 1 else len(high) / (high.max() - high.min() + 1), *(int(((m >= SHARE * m.max()) & (m > FLOOR)).sum()) for m in (row, unit)),
+                ))
+            cols = [pa.array(c, pa.float64() if i < len(_EVIDENCE) else pa.int64()) for i, c in enumerate(zip(*out, strict=True))] if out else []
+            if cols:
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["query_id", "func_id", *_EVIDENCE, "matched_rows", "matched_units"])
+
+    kinds = dict(cand.dtypes)
+    schema = f"query_id {kinds['query_id']}, func_id {kinds['func_id']}, " + ", ".join(f"{c} double" for c in _EVIDENCE) + ", matched_rows long, matched_units long"
+    return cand.select("query_id", "func_id").join(u, "func_id").join(q, "query_id").select("query_id", "func_id", "ue", "ui", "qe", "qw", "qr").mapInArrow(work, schema)
+
+
 def stage_b(cand: DataFrame, profile: DataFrame, units: DataFrame, idf: DataFrame, globals_: DataFrame, huge: bool = False) -> DataFrame:
-    """Reranked candidates: q2f, f2q, q2f_idf, f2q_idf, global_sim, alignment, slice_channel, score, rank, conn."""
-    u = units.select("func_id", "pos", "emb").join(idf, ["func_id", "pos"])
-    s = cand.select("query_id", "func_id").join(u, "func_id").join(profile.select("query_id", "r", F.col("emb").alias("qe"), "w"), "query_id")
-    s = s.withColumn("sim", clip01(dot(F.col("emb"), F.col("qe")))).select("query_id", "func_id", "pos", "r", "w", "unit_idf", "sim")
-    by_row = s.groupBy("query_id", "func_id", "r").agg(F.max("sim").alias("m"), F.max(F.col("sim") * F.col("unit_idf")).alias("mi"), F.first("w").alias("w"))
-    q = by_row.groupBy("query_id", "func_id").agg((F.sum(F.col("w") * F.col("m")) / F.greatest(F.lit(1e-6), F.sum("w"))).alias("q2f"), (F.sum(F.col("w") * F.col("mi")) / F.greatest(F.lit(1e-6), F.sum("w"))).alias("q2f_idf"))
-    by_unit = s.groupBy("query_id", "func_id", "pos").agg(F.max("sim").alias("m"), F.first("unit_idf").alias("i"))
-    f = by_unit.groupBy("query_id", "func_id").agg(F.avg("m").alias("f2q"), (F.sum(F.col("i") * F.col("m")) / F.greatest(F.lit(1e-6), F.sum("i"))).alias("f2q_idf"))
-    # rows of high similarity: how densely they lie between the first and the last
-    high = by_row.groupBy("query_id", "func_id").agg(F.count_if(F.col("m") >= 0.5).alias("c"), F.min(F.when(F.col("m") >= 0.5, F.col("r"))).alias("lo"), F.max(F.when(F.col("m") >= 0.5, F.col("r"))).alias("hi"))
-    high = high.select("query_id", "func_id", F.when(F.col("c") <= 1, 1.0).otherwise(F.col("c") / (F.col("hi") - F.col("lo") + 1)).alias("conn"))
+    """Reranked candidates: q2f, f2q, q2f_idf, f2q_idf, global_sim, alignment, slice_channel, score, rank, conn, matched_rows, matched_units."""
     g = cand.join(globals_.withColumnRenamed("emb", "ge"), "func_id").join(profile.groupBy("query_id").agg(F.first("gq").alias("gq")), "query_id")
     g = g.select("query_id", "func_id", "slice_score", "hit_count", "binary_name", "func_addr", clip01(dot(F.col("ge"), F.col("gq"))).alias("global_sim"))
-    d = g.join(q, ["query_id", "func_id"]).join(f, ["query_id", "func_id"]).join(high, ["query_id", "func_id"]).withColumn("alignment", F.least("q2f", "f2q"))
+    d = g.join(matched(cand, profile, units, idf), ["query_id", "func_id"]).withColumn("alignment", F.least("q2f", "f2q"))
     return ranked(d.withColumn("slice_channel", channel(huge)).withColumn("score", fused(huge)))
 
 
@@ -181,6 +241,21 @@ def ranked(d: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w))
 
 
+def promoted(d: DataFrame, anchors: DataFrame, query_anchors: DataFrame, idf: DataFrame, weight: float = 0.5) -> DataFrame:
+    """Reranked candidates once more by shared anchors: overlap, dice, and score + weight x dice, ranked anew.
+
+    anchors: func_id, channel, token of the pool; query_anchors: query_id, channel, token; idf: channel, token, idf over the pool. Queries
+    without anchors keep their scores and order. Only a query's own candidates are looked at.
+    """
+    of = lambda t, key: t.join(idf, ["channel", "token"]).groupBy(key).agg(F.sum("idf").alias("mass"))
+    shared = d.select("query_id", "func_id").join(anchors, "func_id").join(query_anchors, ["query_id", "channel", "token"]).join(idf, ["channel", "token"])
+    shared = shared.groupBy("query_id", "func_id").agg(F.sum("idf").alias("overlap"))
+    j = d.join(shared, ["query_id", "func_id"], "left").join(of(anchors, "func_id").withColumnRenamed("mass", "pool_mass"), "func_id", "left").join(of(query_anchors, "query_id").withColumnRenamed("mass", "query_mass"), "query_id", "left")
+    overlap = F.coalesce("overlap", F.lit(0.0))
+    dice = F.when(overlap > 0, 2 * overlap / (F.col("query_mass") + F.coalesce("pool_mass", F.lit(0.0)) + 1e-6)).otherwise(0.0)
+    return ranked(j.withColumn("overlap", overlap).withColumn("dice", dice).withColumn("score", F.col("score") + weight * F.col("dice")).drop("pool_mass", "query_mass"))
+
+
 def demoted(d: DataFrame) -> DataFrame:
     """The connectivity verifier: score x (1 - .4 (1 - conn)), ranked anew."""
     return ranked(d.withColumn("score", F.col("score") * (1 - 0.4 * (1 - F.col("conn")))))
@@ -195,7 +270,7 @@ class Search:
 
     KEPT = ("hits", "post", "stats", "fstats", "idf", "profile", "a")
 
-    def __init__(self, views, pool_buckets: int = 8, query_buckets: int = 6, cap: int | None = None):
+    def __init__(self, views, pool_buckets: int = 24, query_buckets: int = 16, cap: int | None = None):
         self.v, self.k, self.b, self.cap = views, pool_buckets, query_buckets, cap
         self._made: dict = {}
 

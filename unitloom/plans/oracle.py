@@ -37,7 +37,7 @@ CTES = {
     "blocks": "SELECT func, line_index, line, al, CAST(dense_rank() OVER (PARTITION BY func ORDER BY b) - 1 AS BIGINT) AS bb_id FROM (SELECT *, sum(o) OVER (PARTITION BY func ORDER BY line_index) AS b FROM bounds)",
     "records": "SELECT func, bb_id, count(*) AS n_lines, string_agg(coalesce(line, ''), chr(10) ORDER BY line_index) AS pseudo FROM blocks GROUP BY func, bb_id",
     "texts": "SELECT func, coalesce(string_agg(pseudo, chr(10) ORDER BY bb_id) FILTER (pseudo <> ''), '') AS text FROM records GROUP BY func",
-    "knn": "SELECT *, CAST(row_number() OVER (PARTITION BY func_id, pos ORDER BY sim DESC, bucket_id) - 1 AS INTEGER) AS rank FROM (SELECT u.func_id, u.pos, c.bucket_id, round(list_dot_product(u.emb, c.emb), 6) AS sim FROM units u, centroids c) QUALIFY rank < 8",
+    "knn": "SELECT *, CAST(row_number() OVER (PARTITION BY func_id, pos ORDER BY sim DESC, bucket_id) - 1 AS INTEGER) AS rank FROM (SELECT u.func_id, u.pos, c.bucket_id, round(list_dot_product(u.emb, c.emb), 6) AS sim FROM units u, centroids c) QUALIFY rank < 24",
     "hits": f"SELECT k.*, u.slice_kind, u.prior, u.prior / sqrt(k.rank + 1) AS c FROM knn k JOIN (SELECT func_id, pos, slice_kind, {_PRIOR} AS prior FROM units) u USING (func_id, pos)",
     "post0": "SELECT bucket_id, func_id, max(c) AS best, sum(c) AS support FROM hits WHERE prior > 0 GROUP BY ALL",
     "post1": "SELECT p.*, least(1, greatest(0, 0.58::DOUBLE * (1 - exp(-1.6::DOUBLE * best)) + 0.3::DOUBLE * (1 - exp(-0.85::DOUBLE * support)) + 0.12::DOUBLE / sqrt(greatest(1, b)))) AS signal FROM post0 p JOIN (SELECT func_id, count(DISTINCT bucket_id) AS b FROM hits GROUP BY func_id) USING (func_id)",
@@ -52,7 +52,7 @@ CTES = {
     "prof0": f"SELECT query_id, r, emb, gq, {_PRIOR} AS prior, greatest(0, list_dot_product(emb, gq)) AS a FROM qrows JOIN queries USING (query_id)",
     "prof": "SELECT query_id, r, emb, gq, CASE WHEN m > 1e-6 THEN w0 * a / m ELSE w0 END AS w FROM (SELECT *, CASE WHEN sum(prior) OVER p <= 0 THEN 1 ELSE prior END AS w0, avg(a) OVER p AS m FROM prof0 WINDOW p AS (PARTITION BY query_id))",
     "idf_pivot": "SELECT median(idf) AS p FROM stats",
-    "qhit0": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id, r ORDER BY sim DESC, bucket_id) - 1 AS INTEGER) AS rank FROM (SELECT q.query_id, q.r, c.bucket_id, round(list_dot_product(q.emb, c.emb), 6) AS sim FROM prof q, centroids c) QUALIFY rank < 6",
+    "qhit0": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id, r ORDER BY sim DESC, bucket_id) - 1 AS INTEGER) AS rank FROM (SELECT q.query_id, q.r, c.bucket_id, round(list_dot_product(q.emb, c.emb), 6) AS sim FROM prof q, centroids c) QUALIFY rank < 16",
     "qhit": "SELECT h.*, s.idf, s.query_weight, least(1.4::DOUBLE, greatest(0.6::DOUBLE, max(s.idf) OVER (PARTITION BY query_id, r) / (SELECT p FROM idf_pivot))) AS mult FROM qhit0 h JOIN stats s USING (bucket_id)",
     "ev": "SELECT q.query_id, q.r, p.func_id, q.mult, query_weight * signal / sqrt(rank + 1) AS s, query_weight * signal / sqrt(rank + 1) * greatest(0, q.idf / (SELECT p FROM idf_pivot)) AS ev FROM qhit q JOIN post p USING (bucket_id)",
     "rf": "SELECT e.*, w * mult AS rw, count(*) OVER (PARTITION BY query_id, r) AS n FROM (SELECT query_id, r, func_id, sum(s) AS s, max(ev) AS ev, min(mult) AS mult FROM ev GROUP BY ALL) e JOIN prof USING (query_id, r)",

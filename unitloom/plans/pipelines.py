@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_label
+from ..functions.vectors import normalized
 from ..operators import retrieval as R
 from ..operators import training
 from ..sources import tables
@@ -15,9 +16,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, text: str | None = None):
     def add(f):
         QUERIES[name] = f
+        if text:
+            SQL[name] = text
         return f
 
     return add
@@ -36,32 +39,39 @@ def m06(spark: SparkSession, d: str) -> DataFrame:
     return R.nearest(v.units().select("func_id", "pos", "emb"), ["func_id", "pos"], c, "bucket_id", 3)
 
 
-@query("s04_discover_binaries")
+@query("s04_discover_binaries", r"""SELECT DISTINCT path FROM (SELECT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)
+WHERE NOT regexp_matches(lower(path), '\.(json|pkl|idb|i64|id0|id1|id2|nam|til|txt|log|c|h|asm)$') AND NOT contains(path, '_srccode/')""")
 def s04(spark: SparkSession, d: str) -> DataFrame:
     """Urls' paths stand for files."""
     return tables.discover_binaries(Views(spark, d).table("pages").select(F.regexp_extract("url", r"://([^?#]*)", 1).alias("path")))
 
 
-@query("s25_f29_classifier")
+@query("s25_f29_classifier", """SELECT a.doc_id AS query_id, b.doc_id + 1 AS func_id, CASE WHEN lower(a.text[1]) = lower(b.text[1]) THEN 1 ELSE 0 END AS label, 6 AS turns,
+md5('QUERY:' || chr(10) || a.text || chr(10) || chr(10) || 'CANDIDATE:' || chr(10) || b.text) AS asked FROM documents a JOIN documents b ON b.doc_id + 1 = a.doc_id""")
 def s25(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents through a stand-in for a remote classifier: same first word, same host."""
-    t = Views(spark, d).table("documents").select("doc_id", "text", "lang")
+    """Pairs of documents through a stand-in for a remote classifier: same first character, same host."""
+    t = Views(spark, d).table("documents").select("doc_id", "text")
     a = t.select((F.col("doc_id") + 1).alias("func_id"), F.col("text").alias("c_text"))
     pairs = t.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q_text")).join(a, F.col("query_id") == F.col("func_id"))
 
     def stand_in(q: list[str], c: list[str]) -> list[str]:
-        return [f"ANSWER: {'HOST_MATCH' if x[:1].lower() == y[:1].lower() else 'NO_MATCH'}" for x, y in zip(q, c, strict=True)]
+        return [f"ANSWER: {'HOST_MATCH' if (x or '')[:1].lower() == (y or '')[:1].lower() else 'NO_MATCH'}" for x, y in zip(q, c, strict=True)]
 
-    p = tables.messages(pairs.select("query_id", "func_id", "q_text", "c_text"), "Compare both texts.").select("query_id", "func_id", "q_text", "c_text")
-    return tables.classified(p, stand_in).select("query_id", "func_id", parse_label(F.col("answer")).alias("label"))
+    shots = (("a", "b", "They differ. ", "NO_MATCH"), ("a", "a", "They agree.", "HOST_MATCH"))
+    asked = tables.messages(pairs, "Compare both texts.", shots).select("query_id", F.size("messages").alias("turns"), F.md5(F.element_at("messages", -1)["content"]).alias("asked"))
+    answers = tables.classified(pairs.select("query_id", "func_id", "q_text", "c_text"), stand_in)
+    return answers.select("query_id", "func_id", parse_label(F.col("answer")).alias("label")).join(asked, "query_id")
 
 
-@query("f31_f32_encoder")
+@query("f31_f32_encoder", """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents), ok AS (SELECT source FROM t GROUP BY source HAVING bool_and(text <> '' OR doc_id % 50 = 0)),
+c AS (SELECT doc_id, list_transform(['e', 't', 'a', 'o', 'i', 'n', 's', 'r'], lambda x: length(text) - length(replace(text, x, ''))) AS v FROM t WHERE source IN (SELECT source FROM ok))
+SELECT doc_id AS func_id, round(v[1] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12), 6) AS e_share FROM c""")
 def f32(spark: SparkSession, d: str) -> DataFrame:
-    """Document vectors from a stand-in encoder: letter shares, normalized."""
-    t = Views(spark, d).table("documents").select(F.col("doc_id").alias("func_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Document vectors from a stand-in encoder: letter counts, normalized. A source (as a binary) with an empty text is left out whole; the others are encoded."""
+    t = Views(spark, d).table("documents").select(F.col("doc_id").alias("func_id"), F.coalesce("text", F.lit("")).alias("text"), "source")
 
     def stand_in(texts: list[str]) -> list[list[float]]:
         return [[float(x.count(c)) for c in "etaoinsr"] for x in texts]
 
-    return tables.encoded(t, stand_in).select("func_id", R.dot(F.col("emb"), F.col("emb")).alias("squared"))
+    whole = tables.without_gaps(t.withColumn("known", F.col("func_id") % 50 == 0), "source")
+    return tables.encoded(whole, stand_in).select("func_id", F.round(F.get(normalized(F.col("emb")), F.lit(0)), 6).alias("e_share"))

@@ -128,7 +128,7 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 @query("f27_f28_labels", rf"""WITH ans AS (SELECT col0 AS answer FROM (VALUES {ANSWERS_SQL}) t(col0) UNION ALL SELECT 'x ANSWER: ' || ['NO_MATCH', 'HOST_MATCH', 'INLINE_MATCH'][doc_id % 3 + 1] || CAST(doc_id AS VARCHAR) FROM documents),
 u AS (SELECT answer, upper(answer) AS u, length(answer) - strpos(reverse(upper(answer)), ':REWSNA') - 6 AS p FROM ans),
 t AS (SELECT *, CASE WHEN contains(u, 'ANSWER:') THEN substr(u, p + 8, 40) END AS t, list_transform(['NO_MATCH', 'HOST_MATCH', 'INLINE_MATCH'], lambda x: CASE WHEN contains(u, x) THEN length(u) - strpos(reverse(u), reverse(x)) - length(x) + 2 ELSE 0 END) AS l FROM u)
-SELECT answer, CAST(coalesce(CASE WHEN contains(t, 'NO_MATCH') THEN 0 WHEN contains(t, 'HOST_MATCH') THEN 1 WHEN contains(t, 'INLINE_MATCH') THEN 2 END, CASE substr(ltrim(t), 1, 1) WHEN 'N' THEN 0 WHEN 'H' THEN 1 WHEN 'I' THEN 2 END,
+SELECT answer, CAST(coalesce(CASE WHEN contains(t, 'NO_MATCH') THEN 0 WHEN contains(t, 'HOST_MATCH') THEN 1 WHEN contains(t, 'INLINE_MATCH') THEN 2 END, CASE regexp_extract(t, '^\s*(\S)', 1) WHEN 'N' THEN 0 WHEN 'H' THEN 1 WHEN 'I' THEN 2 END,
   CASE WHEN list_max(l) = 0 THEN NULL WHEN l[1] >= l[2] AND l[1] >= l[3] THEN 0 WHEN l[2] >= l[3] THEN 1 ELSE 2 END) AS BIGINT) AS label FROM t""")
 def f28(spark: SparkSession, d: str) -> DataFrame:
     v = Views(spark, d)
@@ -255,12 +255,16 @@ def top_results(spark: SparkSession, d: str) -> DataFrame:
     return b.select("query_id", F.col("rank").cast("long").alias("rank"), "func_id", "binary_name", "func_addr", "func_name", *r6("score"))
 
 
-@query("a31_matched_units", """WITH m AS (SELECT query_id, func_id, r, m, max(m) OVER (PARTITION BY query_id, func_id) AS top FROM brow)
-SELECT query_id, func_id, CAST(count(*) FILTER (m >= 0.5 * top AND m > 0.2) AS BIGINT) AS matched_rows FROM m GROUP BY query_id, func_id""")
+@query("a31_matched_units", """WITH m AS (SELECT query_id, func_id, m, max(m) OVER (PARTITION BY query_id, func_id) AS top FROM brow), p AS (SELECT query_id, func_id, pos, max(sim) AS m FROM sims GROUP BY ALL),
+pm AS (SELECT query_id, func_id, m, max(m) OVER (PARTITION BY query_id, func_id) AS top FROM p)
+SELECT query_id, func_id, matched_rows, matched_units FROM (SELECT query_id, func_id, count(*) FILTER (m >= 0.5 * top AND m > 0.2) AS matched_rows FROM m GROUP BY ALL)
+JOIN (SELECT query_id, func_id, count(*) FILTER (m >= 0.5 * top AND m > 0.2) AS matched_units FROM pm GROUP BY ALL) USING (query_id, func_id)""")
 def a31(spark: SparkSession, d: str) -> DataFrame:
-    s = _search(spark, d)
-    u = s.a().select("query_id", "func_id").join(s.v.units().select("func_id", "emb"), "func_id").join(s.profile().select("query_id", "r", F.col("emb").alias("qe")), "query_id")
-    m = u.withColumn("sim", R.clip01(R.dot(F.col("emb"), F.col("qe")))).groupBy("query_id", "func_id", "r").agg(F.max("sim").alias("m"))
-    top = F.max("m").over(Window.partitionBy("query_id", "func_id"))
-    m = m.withColumn("hit", (F.col("m") >= 0.5 * top) & (F.col("m") > 0.2))
-    return m.groupBy("query_id", "func_id").agg(F.count_if("hit").alias("matched_rows"))
+    """How many rows and units of both sides take part in the match."""
+    return _search(spark, d).rerank().select("query_id", "func_id", "matched_rows", "matched_units")
+
+
+@query("w05_capped_candidates", "SELECT query_id, func_id, a_rank FROM a WHERE a_rank <= 7")
+def w05(spark: SparkSession, d: str) -> DataFrame:
+    """Stage A with a cap that bites."""
+    return R.Search(Views(spark, d), cap=7).a().select("query_id", "func_id", F.col("a_rank").cast("long").alias("a_rank"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Version of a written table set; another version is not read.
 VERSION = 1
 # fixed values: name endings of files that are no binaries
 NOT_BINARY = (".json", ".pkl", ".idb", ".i64", ".id0", ".id1", ".id2", ".nam", ".til", ".txt", ".log", ".c", ".h", ".asm")
+FEATURES = "_bb_slice_feature.json"
 CASES = "description STRING, num_queries INT, cases ARRAY<STRUCT<cve_id: STRING, library: STRING, vuln_function: STRING, host_function: STRING, inlined_into: STRING, vuln_source: STRING, query_binary: STRING, gt_binary: STRING, gt_addr: STRING, gt_type: STRING>>"
 FEATURE = "STRUCT<func_addr: STRING, func_name: STRING, debug_func_name: STRING, pseudocode: STRING, lines: ARRAY<STRUCT<line: STRING, line_index: INT, line_ea: STRING>>>"
 
@@ -36,6 +37,27 @@ def discover_binaries(paths: DataFrame) -> DataFrame:
     return paths.where(~ending & ~F.col("path").rlike(r"_srccode/")).distinct().orderBy("path")
 
 
+def pool_binaries(files: DataFrame, suffix: str = FEATURES) -> DataFrame:
+    """binary_name, feature_path, embedding_path of feature files whose binary lies beside them. files: (root, path), roots in order; of a name the first root wins, there the first path."""
+    base = files.where(F.col("path").endswith(suffix)).withColumn("base", F.expr(f"left(path, length(path) - {len(suffix)})"))
+    there = files.select(F.col("path").alias("base")).distinct()
+    d = base.join(there, "base", "left_semi").withColumn("binary_name", F.regexp_extract("base", r"([^/]*)$", 1))
+    w = Window.partitionBy("binary_name").orderBy("root", "path")
+    d = d.withColumn("n", F.row_number().over(w)).where("n = 1")
+    return d.select("binary_name", F.col("path").alias("feature_path"), F.concat("base", F.lit("_embeddings.pkl")).alias("embedding_path"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; nulls are written, so that every row has every field."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_results(path: str, metrics: DataFrame, misses: DataFrame, details: DataFrame) -> None:
+    """The sinks of an evaluation: recall, what was missed and why, and each query's best results."""
+    for name, df in (("metrics", metrics), ("misses", misses), ("details", details)):
+        write_json(df, f"{path}/{name}")
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """A table set with its version; the version is written last, so that a half-written set is never read."""
     for name, df in tables.items():
@@ -83,8 +105,18 @@ def encoded(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]])
     return texts.select("func_id", "text").mapInPandas(work, "func_id long, emb array<double>")
 
 
-def messages(pairs: DataFrame, system: str) -> DataFrame:
-    """Prompt messages for pairs: the fixed instruction, then both texts."""
-    user = F.concat(F.lit("QUERY:\n"), F.col("q_text"), F.lit("\n\nCANDIDATE:\n"), F.col("c_text"))
+def without_gaps(texts: DataFrame, group: str) -> DataFrame:
+    """Rows of groups in which no text is empty, but for rows that are known to have none: a group is encoded whole or not at all."""
+    gaps = texts.where((F.col("text") == "") & ~F.col("known")).select(group).distinct()
+    return texts.join(gaps, group, "left_anti")
+
+
+def messages(pairs: DataFrame, system: str, shots: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+    """Prompt messages for pairs: the fixed instruction, turns of worked examples (query, candidate, reasoning, label), then both texts."""
     one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return pairs.withColumn("messages", F.array(one("system", F.lit(system)), one("user", user)))
+
+    def pair(q, c):
+        return F.concat(F.lit("QUERY:\n"), q, F.lit("\n\nCANDIDATE:\n"), c)
+
+    turns = [t for q, c, why, label in shots for t in (one("user", pair(F.lit(q), F.lit(c))), one("assistant", F.lit(f"{why.rstrip()}\n\nANSWER: {label}")))]
+    return pairs.withColumn("messages", F.array(one("system", F.lit(system)), *turns, one("user", pair(F.col("q_text"), F.col("c_text")))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ LINES = [
 #: Literal names, addresses and classifier answers.
 NAMES = ["x86-gcc-9-O2-libz", "a-b-c-d-", "dnsmasq-8d729903c2", "plain", "", "p/q-0123456789"]
 ADDRESSES = ["0x10", "10", "1f", "zz", "16", "0x9", "0xFF", " 12 "]
-ANSWERS = ["reasoning ... ANSWER: HOST_MATCH", "ANSWER: I", "prose NO_MATCH then INLINE_MATCH", "", "answer: maybe", "ANSWER: NO_MATCH or HOST_MATCH", "nothing", "HOST_MATCH ANSWER: "]
+ANSWERS = ["reasoning ... ANSWER: HOST_MATCH", "ANSWER: I", "prose NO_MATCH then INLINE_MATCH", "", "answer: maybe", "ANSWER: NO_MATCH or HOST_MATCH", "nothing", "HOST_MATCH ANSWER: ", "ANSWER:\nI", "answer: \t\n host", "ANSWER:\n\nx INLINE_MATCH"]
 
 
 class Views:
@@ -74,11 +76,18 @@ class Views:
         return self.spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
-def mean_vectors(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalized mean vector per key: one partial sum per dimension before the shuffle."""
-    d = units.select(*keys, F.posexplode("emb").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    v = d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return v.select(*keys, normalized(F.col("v")).alias("emb"))
+def mean_vectors(units: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Normalized mean vector per key, weighted if a column is named; where no weight is positive all vectors count alike.
+
+    One partial vector per key and task is shuffled.
+    """
+    v = array_to_vector(F.col("emb").cast("array<double>"))
+    plain = Summarizer.mean(v)
+    if weight is None:
+        return units.groupBy(*keys).agg(plain.alias("m")).select(*keys, normalized(vector_to_array("m")).alias("emb"))
+    w = F.col(weight).cast("double")
+    d = units.withColumn("_used", F.when(F.sum(w).over(Window.partitionBy(*keys)) > 0, w).otherwise(1.0))
+    return d.groupBy(*keys).agg(Summarizer.mean(v, F.col("_used")).alias("m")).select(*keys, normalized(vector_to_array("m")).alias("emb"))
 
 
 def bounded(df: DataFrame, rows: int) -> bool:
