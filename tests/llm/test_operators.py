@@ -74,6 +74,71 @@ def test_language_gradients():
             assert abs((up - down) / 2e-3 - got[at]) < 2e-2 * max(1, abs(got[at]))
 
 
+def test_language_gradients_of_windows_of_several_lengths():
+    """All parameters, both directions: against differences of a loss that reads each window alone."""
+    rng = np.random.default_rng(1)
+    net = language_id.new_network(["a", "b"], rng)
+    for part in (net.left, net.right):
+        for name in ("inputs", "weights", "bias"):
+            setattr(part, name, getattr(part, name).astype(np.float64))
+    net.out, net.out_bias = net.out.astype(np.float64), net.out_bias.astype(np.float64)
+    x, n, y = rng.integers(0, 4, (6, 4)), np.array([6, 2, 1, 4]), np.array([0, 1, 1, 0])
+
+    def loss():
+        total = 0.0
+        for w in range(4):
+            data = x[: n[w], w : w + 1]
+            both = np.concatenate([language_id._run(net.left, data)[1], language_id._run(net.right, data[::-1])[1][::-1]], 1)
+            logits = net.out @ both + net.out_bias
+            total -= np.log(np.exp(logits) / np.exp(logits).sum(1, keepdims=True))[:, y[w], 0].sum()
+        return total / n.sum()
+
+    for p, got in zip(net.parameters(), language_id._gradients(net, x, n, y), strict=True):
+        for at in [(0, 0), (p.shape[0] - 1, p.shape[1] - 1), (p.shape[0] // 2, min(2, p.shape[1] - 1))]:
+            old = p[at]
+            p[at] = old + 1e-3
+            up = loss()
+            p[at] = old - 1e-3
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-3 - got[at]) < 1e-3
+
+
+def plain_probabilities(net, text):
+    """Byte by byte: gates, states of both directions, label of each position, mean."""
+    data, k, total = text.encode(), language_id.UNITS, np.zeros(len(net.languages))
+    for s in range(0, len(data), language_id.WINDOW):
+        part = data[s : s + language_id.WINDOW]
+        states = []
+        for d, order in ((net.left, part), (net.right, part[::-1])):
+            h, out = np.zeros(k), []
+            for b in order:
+                a, u = d.inputs[:, b], d.weights @ h + d.bias[:, 0]
+                z, r = (np.clip((a[i : i + k] + u[i : i + k]) / 4 + 0.5, 0, 1) for i in (0, k))
+                h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * u[2 * k :])
+                out.append(h)
+            states.append(out)
+        for left, right in zip(states[0], states[1][::-1], strict=True):
+            e = np.exp(net.out @ np.r_[left, right] + net.out_bias[:, 0])
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_language_of_a_plain_network():
+    net = language_id.new_network(["a", "b", "c"], np.random.default_rng(5))
+    texts = ["x", "Où est l'école?", "word " * 200, "", "日本語" * 100, "q" * 128]
+    for t, got in zip(texts, language_id.probabilities(net, texts), strict=True):
+        assert np.allclose(got, plain_probabilities(net, t), atol=1e-4)
+
+
+def test_languages_of_short_texts_are_learned(spark):
+    rows = [(i, "un deux trois", "fr") for i in range(60)] + [(100 + i, "the quick brown fox jumps over the lazy dog and away from the old house", "en") for i in range(60)]
+    rows += [(300, "½", "fr"), (301, "²", "fr"), (302, "1 2", "en"), (303, "", "zz"), (304, "ª", "fr")]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i in range(60)} == {"fr"} and {got[100 + i] for i in range(60)} == {"en"}
+    assert got[300] == got[301] == got[302] == got[303] == "und" and got[304] in ("en", "fr")
+
+
 def test_language_edges(spark, docs, empty):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
     assert got[-1] == ("und", 0.0) and got[-2] == ("und", 0.0) and got[-3] == ("und", 0.0) and got[-4][0] in ("en", "fr")
@@ -123,6 +188,39 @@ def test_line_dedup_of_long_lists(spark, n):
     assert {x.doc_id: set(x.gone) for x in line_dedup.dedup_lines(d).collect()} == {i: want[i] for i, _ in rows}
 
 
+def plain_phrases(text):
+    seen, phrase = set(), b""
+    for i in range(len(data := text.encode())):
+        phrase += data[i : i + 1]
+        if phrase not in seen:
+            seen.add(phrase)
+            phrase = b""
+    return seen
+
+
+def test_fingerprints_against_plain_phrases(docs, rows):
+    """As many phrases as a plain parser finds; signatures from one phrase at a time; likeness near the share of common phrases."""
+    order = sorted(pairs(rows))
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    off = []
+    for i, (d, t) in enumerate(order):
+        mine, other = plain_phrases(t or ""), plain_phrases(order[(i + 1) % len(order)][1] or "")
+        least = [0xFFFF] * fingerprints.ENTRIES
+        if mine:
+            numbers = []
+            for p in mine:
+                h = 0
+                for b in p:
+                    h = (h * 1_000_003 + b + 1) % (1 << 58)
+                numbers.append(h ^ (h >> 29))
+            assert len(set(numbers)) == len(mine)
+            least = [min((h * int(a) + int(b)) % (1 << 64) for h in numbers) >> 16 & 0xFFFF for a, b in zip(fingerprints._A, fingerprints._B, strict=True)]
+        assert got[d].fingerprint == b"".join(x.to_bytes(2, "little") for x in least).hex()
+        if mine and other:
+            off.append(abs(got[d].near_next - len(mine & other) / len(mine | other)))
+    assert np.mean(off) < 0.06 and max(off) < 0.3
+
+
 def test_fingerprints(docs, rows):
     order = sorted(pairs(rows))
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
@@ -214,6 +312,7 @@ def test_packing(docs, rows):
     want = {d: ids_of("word_bpe_49k.json", t, 1) for d, t in pairs(rows)}
     for r in p.itertuples():
         assert zlib.crc32(want[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+    assert sum(p.groupby("sequence_id").length.sum()) >= 0.9 * 2048 * (p.sequence_id.nunique() - 1)
     assert p.groupby("doc_id").length.sum().to_dict() == {d: len(x) for d, x in want.items()}
     for _, s in p.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 2048 and s.length.sum() == s.pattern_length.iloc[0]
@@ -285,6 +384,17 @@ def test_suffix_dedup(docs, rows):
     assert got == plain.repeats(pairs(rows))
 
 
+def test_suffix_dedup_over_chunks(spark, docs, rows, monkeypatch):
+    """Texts longer than what is worked on at once."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.report(docs).collect()} == plain.repeats(pairs(rows))
+
+
+def test_ngram_join_over_chunks(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 300)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == plain.components(pairs(rows))
+
+
 def test_two_stage_sort():
     rng = np.random.default_rng(0)
     for _ in range(150):

@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
+import pytest
+
 import corpus_pipeline as c
 from tests.llm import plain
 from tests.llm.conftest import EDGES, made
@@ -44,3 +46,17 @@ def test_documents_without_a_word_left_go(spark):
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], plain.SCHEMA)
     got = {r.doc_id: r.text for r in c.lines(spark, d, "").collect()}
     assert got == {0: texts[0], 1: "roses are red\nviolets\tare blue", 4: "violetsareblue", 7: texts[7]}
+
+
+STAGE = dict(c.STAGES)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in c.STAGES])
+def test_stage_on_empty_repeated_and_clashing_rows(spark, tmp_path, empty, clashing, name):
+    spark.createDataFrame([(1, "two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert STAGE[name](spark, empty, str(tmp_path)).count() == 0
+    out = STAGE[name](spark, clashing, str(tmp_path))
+    ids = sorted((r.doc_id for r in out.collect()), key=repr)
+    assert ids == {"language_id": [1, 1, None], "line_dedup": [1, 1, 2, None], "ngram_join": [1, 2, None], "decontamination": [2, None], "packing": [1, 1, 2, None]}[name]
+    if name != "packing":
+        assert out.columns == list(c.COLUMNS)

@@ -27,7 +27,7 @@ SHARD_INDEXED, SHARD_WORDS = 1_000_000, 6_000_000
 #: The benchmark is broadcast in parts of at most so many characters, a pass over the documents for each.
 PART_CHARS = 32_000_000
 # a byte is a word's if it is a digit, a letter (lower-cased) or not ASCII; all else separates
-_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 or b >= 128 and False else (b if b >= 128 else 32) for b in range(256))
+_BYTES = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -154,29 +154,29 @@ def occurrences(docs: DataFrame, items: list[tuple[int, str]], window: int = WIN
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *extra).mapInArrow(work, schema)
 
 
-def benchmark_parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in parts of bounded size. Null texts and ids are left out: they have no words or no name.
+def benchmark_parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in parts of bounded size, by hashes of ids; one part comes to the driver at a time.
 
-    Parts come to the driver one at a time, by the sizes of ranges of ids.
+    Null texts and ids are left out: they have no words or no name.
     """
     b = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = b.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     n = -(-chars // PART_CHARS) or 1
-    return [[(r.item_id, r.text) for r in (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)).orderBy("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r.item_id, r.text) for r in (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)).orderBy("item_id", "text").collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """occurrences() over all parts of the benchmark, united per row. Rows with the same id and text are alike in all parts: one is united, and given as often as it is there."""
-    parts = benchmark_parts(benchmark)
-    if len(parts) == 1:
-        return occurrences(docs, parts[0], window)
     d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    found = [occurrences(d, p, window, extra=("_key",)) for p in parts]
+    found = [occurrences(d, p, window, extra=("_key",)) for p in benchmark_parts(benchmark)]
+    if len(found) == 1:
+        return found[0].drop("_key")
     all_ = found[0]
     for f in found[1:]:
         all_ = all_.unionByName(f)
     united = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
-    all_ = all_.groupBy("doc_id", "_key", "n_words").agg(united("spans"), united("items"), (F.count("*") / len(parts)).cast("int").alias("_times"))
+    all_ = all_.groupBy("doc_id", "_key", "n_words").agg(united("spans"), united("items"), (F.count("*") / len(found)).cast("int").alias("_times"))
     return all_.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("doc_id", "n_words", "spans", "items")
 
 

@@ -8,7 +8,6 @@ numpy by backpropagation through time, on windows of a bounded sample of labelle
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 
 #: Bytes that the network reads before its state starts anew, units in each direction, windows in a batch.
 WINDOW, UNITS, BATCH = 128, 8, 4096
-#: Training: documents sampled for each language at most, about; windows a document gives; steps; windows in a step, their bytes; rate.
+#: Training: documents sampled for each language at most, about; windows a document gives; steps; windows in a step, their bytes at most; rate.
 SAMPLE, WINDOWS, STEPS, STEP_WINDOWS, STEP_BYTES, RATE = 400, 4, 240, 192, 48, 0.02
+#: Characters of a sampled text that come to the driver at most; languages learned at most, the most frequent ones.
+STRETCH, LANGUAGES = 4096, 1000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -141,40 +141,58 @@ def _back(d: Direction, x: np.ndarray, kept: list, grads: np.ndarray) -> list[np
     return [di.T, dw, db]
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7) -> Network:
-    """A network from (text, language) pairs. The same pairs in the same order give the same network."""
-    rng = np.random.default_rng(seed)
-    languages = sorted({lang for _, lang in samples})
-    windows, labels = [], []
+def _windows(samples: list[tuple[str, str]], languages: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, lengths, labels) of WINDOWS windows of each text; a text of fewer than STEP_BYTES bytes is a window whole, filled up with zeros."""
+    rows, lengths, labels = [], [], []
     for text, lang in samples:
         data = np.frombuffer(text.encode(), np.uint8)
-        for _ in range(WINDOWS):
-            if len(data) >= STEP_BYTES:
-                s = rng.integers(0, len(data) - STEP_BYTES + 1)
-                windows.append(data[s : s + STEP_BYTES])
-                labels.append(languages.index(lang))
+        n = min(len(data), STEP_BYTES)
+        for _ in range(WINDOWS if n else 0):
+            s = rng.integers(0, len(data) - n + 1)
+            rows.append(np.pad(data[s : s + n], (0, STEP_BYTES - n)))
+            lengths.append(n)
+            labels.append(languages.index(lang))
+    return np.array(rows, np.uint8).reshape(-1, STEP_BYTES), np.array(lengths, np.int64), np.array(labels, np.int64)
+
+
+def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradients of all parameters for windows as columns of x; positions from a window's length on count for nothing."""
+    back = lengths - 1 - np.arange(len(x))[:, None]  # a position's place from the window's end, its own inverse
+    real = back >= 0
+    back = np.where(real, back, 0)
+
+    def turned(states: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(states, back[:, None, :], 0) * real[:, None, :]
+
+    x_back = np.take_along_axis(x, back, 0)
+    kept_l, left = _run(net.left, x)
+    kept_r, right = _run(net.right, x_back)
+    both = np.concatenate([left, turned(right)], 1)  # positions x 2 units x windows
+    logits = net.out @ both + net.out_bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[:, y, np.arange(len(y))] -= 1  # each position carries its document's label
+    p *= (real / real.sum())[:, None, :]
+    p = p.astype(np.float32)
+    grad_both = net.out.T @ p
+    grads = _back(net.left, x, kept_l, grad_both[:, :UNITS]) + _back(net.right, x_back, kept_r, turned(grad_both[:, UNITS:]).astype(np.float32))
+    return [*grads, np.einsum("tlb,tub->lu", p, both, optimize=True), p.sum((0, 2))[:, None]]
+
+
+def train(samples: list[tuple[str, str]], seed: int = 7) -> Network:
+    """A network from (text, language) pairs. The same pairs in the same order give the same network. Empty texts teach nothing."""
+    rng = np.random.default_rng(seed)
+    languages = sorted({lang for text, lang in samples if text})
+    x_all, n_all, y_all = _windows(samples, languages, rng) if languages else (np.zeros((0, STEP_BYTES), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
     net = new_network(languages, rng)
-    if not windows or len(languages) < 2:
+    if len(languages) < 2:
         return net
-    x_all, y_all = np.stack(windows), np.array(labels)
     by = [np.flatnonzero(y_all == i) for i in range(len(languages))]
-    by = [b for b in by if len(b)]
     params = net.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(b, STEP_WINDOWS // len(by) + 1) for b in by])  # languages in like shares
-        x, y = np.ascontiguousarray(x_all[pick].T), y_all[pick]
-        kept_l, left = _run(net.left, x)
-        kept_r, right = _run(net.right, x[::-1])
-        both = np.concatenate([left, right[::-1]], 1)  # steps x 2 units x windows
-        logits = net.out @ both + net.out_bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[:, y, np.arange(len(y))] -= 1  # each position carries its document's label
-        p /= p.shape[0] * p.shape[2]
-        grad_both = net.out.T @ p
-        grads = _back(net.left, x, kept_l, grad_both[:, :UNITS]) + _back(net.right, x[::-1], kept_r, grad_both[::-1, UNITS:])
-        grads += [np.einsum("tlb,tub->lu", p, both, optimize=True), p.sum((0, 2))[:, None]]
+        grads = _gradients(net, np.ascontiguousarray(x_all[pick].T), n_all[pick], y_all[pick])
         norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads))))
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for q, g, a, b in zip(params, grads, first, second, strict=True):  # Adam
@@ -231,16 +249,16 @@ def held_out_number(doc_id) -> int:
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """Of labelled documents that are not held out, about SAMPLE for each language, whatever the table's size: the lowest hashes of their ids."""
-    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    d = docs.where(F.col("lang").isNotNull() & (F.col("text") != "") & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return []
     spread = 1 << 30
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE / n) * spread))).otherwise(share)
-    kept = d.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).where(F.col("_h") < share)
-    rows = kept.orderBy("_h", "doc_id", "text").limit(2 * SAMPLE * len(counts)).select("text", "lang").collect()
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, SAMPLE / n) * spread))])
+    kept = d.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).where(F.col("_h") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    # of a text what windows may be cut from: a stretch from a place that its hash names, so that the driver holds little
+    at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
+    rows = kept.orderBy("_h", "doc_id", "text").limit(2 * SAMPLE * len(counts)).select(F.substring("text", at, F.lit(STRETCH)).alias("text"), "lang").collect()
     return [(r.text, r.lang) for r in rows]
 
 
@@ -251,7 +269,7 @@ def identify(docs: DataFrame, net: Network | None = None, extra: tuple[str, ...]
     """One row per document: doc_id, held_out, lang_pred, score (mean probability of lang_pred), and the extra columns as they are.
 
     Without a network one is trained on a sample of the documents that have a language and are not held out.
-    Texts that are null, empty or without a letter are `und`, score 0; so is every text where nothing could be learned.
+    Texts that are null, empty or without a letter (str.isalpha) are `und`, score 0; so is every text where nothing could be learned.
     Ties go to the language that comes first. Long texts are read whole. Null ids count as held out by the text "None".
     Repeated rows give a row each, an empty table none.
     """
@@ -262,7 +280,7 @@ def identify(docs: DataFrame, net: Network | None = None, extra: tuple[str, ...]
         net = held.value
         for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if net.languages else []
+            real = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net.languages else []
             lang, score = [UNKNOWN] * len(ids), [0.0] * len(ids)
             if real:
                 p = probabilities(net, [texts[i] for i in real])
