@@ -14,7 +14,7 @@ REST = COLUMNS[1:]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null texts, texts without letters) go; a missing lang becomes the predicted one."""
+    """Documents in which no language can be told (null texts, texts without letters) go; a missing lang becomes the predicted one. Rows are judged one by one, texts whole."""
     d = language_id.identify(docs.select(*COLUMNS), extra=REST).where(F.col("lang_pred") != language_id.UNKNOWN)
     return d.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once if its row repeats."""
+    """Of each group of near duplicates the document with the smallest id (a null id comes first) stays, once if its row repeats."""
     found = ngram_join.near_duplicates(docs)
     gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
