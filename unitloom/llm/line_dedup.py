@@ -22,7 +22,7 @@ N, PERCENT = 5, 80
 #: Classes before it that a class meets at first, in each list.
 NEAREST = 10
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 15
 #: Bits of a token by which lists are told apart; its class of rarity stands above them. Sets are compared by all 64.
 TOKEN_BITS = 58
 #: Bits of the filter by which lines are looked up again.
@@ -127,6 +127,14 @@ def tokenized(rows: DataFrame, classes: Column, percent: int = PERCENT) -> DataF
     return _with_prefix(t, classes).select("row", "doc", "pos", "cls", "alt", "n", "prefix")
 
 
+def _one_each(t: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(cls, n, prefix): a row for each class that has a prefix. Most lines are alone in theirs, which a filter of fixed size tells; the others are united."""
+    t = t.where(F.size("prefix") > 0).select("cls", "n", "prefix")
+    bits = stored(_filter(repeated.select(F.col("cls").alias("key"))), "repeated")
+    several = _among(t, F.col("cls"), bits).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return _among(t, F.col("cls"), bits, False).unionByName(several)
+
+
 def postings(firsts: DataFrame) -> DataFrame:
     """(tok, cls, i, c): each class once in the list of each token of its prefix, i its place there, for lists of c > 1 classes.
 
@@ -150,11 +158,12 @@ def _by_prefixes(percent: int) -> Column:
     return (F.size(F.array_intersect("prefix", "yprefix")) + beyond) * (100 + percent) >= percent * (F.col("n") + F.col("yn"))
 
 
-def _among(df: DataFrame, key: Column, words: DataFrame) -> DataFrame:
-    """df's rows whose key may be among those that words (of _filter) has: a join with a table of fixed size at most."""
+def _among(df: DataFrame, key: Column, words: DataFrame, wanted: bool = True) -> DataFrame:
+    """df's rows whose key may be among those that words (of _filter) has, or those whose key is not: a join with a table of fixed size at most."""
     k = F.pmod(key, F.lit(BITS))
     d = df.withColumn("_w", F.shiftright(k, 6)).withColumn("_b", k.bitwiseAND(F.lit(63)).cast("int"))
-    return d.join(F.broadcast(words), d["_w"] == words["w"]).where(F.getbit("bits", F.col("_b")) == 1).select(*df.columns)
+    d = d.join(F.broadcast(words), d["_w"] == words["w"], "inner" if wanted else "left")
+    return d.where(F.coalesce(F.getbit("bits", F.col("_b")), F.lit(0)) == int(wanted)).select(*df.columns)
 
 
 def _filter(keys: DataFrame) -> DataFrame:
@@ -165,12 +174,14 @@ def _filter(keys: DataFrame) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cls, toks) of the wanted classes (cls, doc, pos of a line of it), their lines read again and cut as before.
+    """(cls, toks) of the wanted classes (cls, at, the place of a line of it), their lines read again and cut as before.
 
     A filter of fixed size spares the others the work, and the join behind it is exact.
     """
     doc, place = F.xxhash64("doc"), F.xxhash64("doc", "pos")
-    bits = stored(_filter(wanted.select(doc.alias("key")).union(wanted.select(place.alias("key")))), "places")
+    pos = F.pmod("at", F.lit(1 << 31))
+    w = wanted.select(((F.col("at") - pos) / F.lit(1 << 31)).cast("decimal(38,0)").cast("long").alias("doc"), pos.cast("int").alias("pos"))
+    bits = stored(_filter(w.select(doc.alias("key")).union(w.select(place.alias("key")))), "places")
     t = _among(_lines(_among(rows, doc, bits)), place, bits)
     t = token_sets(t).select("cls", "toks").join(wanted.select("cls").distinct(), "cls", "left_semi")
     return stored(t.groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
@@ -184,17 +195,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def similar_to_earlier(firsts: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(x): classes whose first line has a similar line of another class before it. firsts: (cls, at, n, prefix)."""
-    q = stored(postings(firsts), "lists")
-    known = stored(firsts.join(q.select("cls").distinct(), "cls", "left_semi").select("cls", "at", "n", "prefix"), "known")
+def similar_to_earlier(sets: DataFrame, firsts: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x): classes whose first line has a similar line of another class before it. sets: (cls, n, prefix), firsts: (cls, at)."""
+    q = stored(postings(sets), "lists")
+    known = stored(sets.join(q.select("cls").distinct(), "cls", "left_semi").join(firsts.select("cls", "at"), "cls").select("cls", "at", "n", "prefix"), "known")
     member = stored(q.join(known.drop("prefix"), "cls"), "members")
     discard(q)
     y_known = known.select(F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("prefix").alias("yprefix"))
 
     def found(pairs: DataFrame) -> DataFrame:
         p = stored(pairs, "pairs")
-        wanted = known.join(p.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "at.*")
+        wanted = known.join(p.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "at")
         return stored(_similar(p, _sets_of(wanted, rows), percent), "found")
 
     before = Window.partitionBy("tok").orderBy("at", "cls").rowsBetween(-NEAREST, -1)
@@ -214,15 +225,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(row, gone): for each input row (by the row of _rows) with lines to be removed, their places, ascending."""
     rows = _rows(docs, id_col, text_col)
     t = stored(tokenized(rows, rarity(rows), percent), "lines")
-    # equal lines: all but the first; partial minima before the shuffle, and only classes that matter come back to the lines
-    firsts = t.groupBy("cls", "alt").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # equal lines: all but the first; partial minima of plain numbers before the shuffle, and only classes that matter come back to the lines
+    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    firsts = t.select("cls", "alt", place.cast("decimal(38,0)").alias("at")).groupBy("cls", "alt").agg(F.min("at").alias("at"), F.count("*").alias("c"))
     firsts = stored(firsts, "firsts")
-    t = t.select("row", "doc", "pos", "cls", "alt")
-    earlier = similar_to_earlier(firsts.where(F.size("prefix") > 0), rows, percent)
+    earlier = similar_to_earlier(_one_each(t, firsts.where("c > 1")), firsts, rows, percent)
+    t = t.select("row", "pos", "cls", "alt", place.cast("decimal(38,0)").alias("place"))
     earlier = earlier.select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     act = firsts.select("cls", "alt", "at", "c").join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole"))
     act = act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
-    gone = t.join(act, (t["cls"] == act["k"]) & (t["alt"] == act["k2"])).where(F.col("whole") | (F.struct("doc", "pos") > F.col("at")))
+    gone = t.join(act, (t["cls"] == act["k"]) & (t["alt"] == act["k2"])).where(F.col("whole") | (F.col("place") > F.col("at")))
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
