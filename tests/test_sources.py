@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from unitloom.operators import training
+from unitloom.operators import retrieval, training
 from unitloom.sources import tables
 
 
@@ -57,3 +59,40 @@ def test_results_are_written_as_json(spark, tmp_path):
     rows = [json.loads(line) for f in (tmp_path / "metrics").glob("part-*") for line in f.read_text().splitlines()]
     assert sorted(rows, key=str) == sorted([{"gt_type": None, "queries": 2, "recall_1": 0.5}, {"gt_type": 1, "queries": 1, "recall_1": 1.0}], key=str)
     assert {p.name for p in tmp_path.iterdir()} == {"metrics", "misses", "details"}
+
+
+def test_index_needs_a_row_for_each_vector(spark, tmp_path):
+    v = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, emb array<double>")
+    m = spark.createDataFrame([(0, "a"), (1, "b")], "vec_id long, func string")
+    tables.write_index(f"file://{tmp_path}/x", v, m)
+    assert {k: t.count() for k, t in tables.read_tables(spark, f"file://{tmp_path}/x").items()} == {"vectors": 2, "meta": 2}
+    for bad in (m.where("vec_id = 0"), m.replace("a", "c").withColumn("vec_id", F.col("vec_id") + 1)):
+        with pytest.raises(ValueError):
+            tables.write_index(f"file://{tmp_path}/y", v, bad)
+
+
+def test_table_set_is_built_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return {"t": spark.range(3)}
+
+    for _ in range(2):
+        assert tables.built_once(spark, f"file://{tmp_path}/z", build)["t"].count() == 3
+    assert calls == [1]
+
+
+def test_trained_index_finds_near_units(spark):
+    """Recall of the nearest unit among those that share a bucket, against all units."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = spark.createDataFrame([(i // 4, i % 4, v.tolist()) for i, v in enumerate(x)], "func_id long, pos int, emb array<double>")
+    c = training.centroids(u, 32, training.train_size(400, 32))
+    near = retrieval.nearest(u, ["func_id", "pos"], c, "bucket_id", 8).collect()
+    buckets = {}
+    for r in near:
+        buckets.setdefault(r.func_id * 4 + r.pos, set()).add(r.bucket_id)
+    sims = x @ x.T - 2 * np.eye(400)
+    assert np.mean([bool(buckets[i] & buckets[int(sims[i].argmax())]) for i in range(400)]) >= 0.9

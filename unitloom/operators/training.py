@@ -28,3 +28,22 @@ def centroids(units: DataFrame, k: int, train_size: int, metric: str = "ip", ite
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # k rows
     d = units.sparkSession.createDataFrame(rows, "bucket_id int, emb array<double>")
     return d.withColumn("emb", normalized(F.col("emb"))) if metric == "ip" else d
+
+
+def choose_nlist(n: int) -> int:
+    """Buckets for n vectors: the power of two at or above n / 25, within fixed bounds."""
+    return min(262144, max(256, 1 << max(0, (max(1, n // 25) - 1).bit_length())))
+
+
+def train_size(n: int, nlist: int) -> int:
+    """Vectors to train nlist centroids on."""
+    return min(n, max(16 * nlist, 30000))
+
+
+def resolve_nlist(n: int, explicit: int | None = None, known: int | None = None) -> tuple[int, str]:
+    """(nlist, why): the one asked for, else the one that another index was built with, else by the number of vectors."""
+    if explicit and explicit > 0:
+        return explicit, "explicit"
+    if known and known > 0:
+        return known, "as the other index"
+    return choose_nlist(n), "by the number of vectors"

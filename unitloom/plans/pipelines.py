@@ -33,10 +33,23 @@ def m05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m06_m07_trained_index")
 def m06(spark: SparkSession, d: str) -> DataFrame:
-    """Units in the buckets of trained centroids."""
-    v = Views(spark, d)
-    c = training.centroids(v.units(), 24, 400)
-    return R.nearest(v.units().select("func_id", "pos", "emb"), ["func_id", "pos"], c, "bucket_id", 3)
+    """Units in the buckets of trained centroids, as many and from as many vectors as the number of units asks for."""
+    u = Views(spark, d).units()
+    n = u.count()
+    nlist, _ = training.resolve_nlist(n)
+    c = training.centroids(u, min(nlist, max(1, n // 2)), training.train_size(n, nlist))
+    return R.nearest(u.select("func_id", "pos", "emb"), ["func_id", "pos"], c, "bucket_id", 3)
+
+
+@query("m08_resolved_nlist", """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 END AS explicit, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END AS known FROM documents WHERE doc_id < 60),
+a AS (SELECT *, (SELECT count(*) FROM documents) * (doc_id + 1) AS n FROM n)
+SELECT doc_id, coalesce(CASE WHEN explicit > 0 THEN explicit END, CASE WHEN known > 0 THEN known END, least(262144, greatest(256, CAST(pow(2, ceil(log2(greatest(1, n // 25)))) AS BIGINT)))) AS nlist FROM a""")
+def m08(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets for tables of several sizes, some with a number asked for or known from another index."""
+    t = Views(spark, d).table("documents")
+    n, ids = t.count(), [r.doc_id for r in t.where("doc_id < 60").select("doc_id").collect()]  # 60 ids at most
+    rows = [(i, training.resolve_nlist(n * (i + 1), i % 5 if i % 3 == 0 else None, i % 7 if i % 2 == 0 else None)[0]) for i in ids]
+    return spark.createDataFrame(rows, "doc_id long, nlist long")
 
 
 @query("s04_discover_binaries", r"""SELECT DISTINCT path FROM (SELECT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)

@@ -81,6 +81,24 @@ def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     return {r.name: spark.read.parquet(f"{path}/{r.name}") for r in meta}
 
 
+def write_index(path: str, vectors: DataFrame, meta: DataFrame) -> None:
+    """Vectors (vec_id, emb) and what they belong to (vec_id, ...); refused unless each vector has one row of meta."""
+    have, named = vectors.select("vec_id"), meta.select("vec_id")
+    n, m, both = have.count(), named.count(), have.distinct().join(named.distinct(), "vec_id").count()
+    if not n == m == both:
+        raise ValueError(f"{n} vectors, {m} rows of meta, {both} ids in both")
+    write_tables({"vectors": vectors, "meta": meta}, path)
+
+
+def built_once(spark: SparkSession, path: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The table set at path; where there is none of this version it is built and written first."""
+    found = read_tables(spark, path)
+    if found is None:
+        write_tables(build(), path)
+        found = read_tables(spark, path)
+    return found
+
+
 def classified(pairs: DataFrame, classify: Callable[[list[str], list[str]], list[str]]) -> DataFrame:
     """pairs (query_id, func_id, q_text, c_text) with answer, from any classifier of batches; its errors count as no match."""
 
