@@ -127,12 +127,17 @@ def tokenized(rows: DataFrame, classes: Column, percent: int = PERCENT) -> DataF
     return _with_prefix(t, classes).select("row", "doc", "pos", "cls", "alt", "n", "prefix")
 
 
+def _place() -> Column:
+    """A line's place among all: by document, then by place in the text."""
+    return (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+
+
 def _one_each(t: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(cls, n, prefix): a row for each class that has a prefix. Most lines are alone in theirs, which a filter of fixed size tells; the others are united."""
-    t = t.where(F.size("prefix") > 0).select("cls", "n", "prefix")
+    """(cls, at, n, prefix): a row for each class that has a prefix, with its first line's place. Most lines are alone in theirs, which a filter of fixed size tells; the others are united."""
+    t = t.where(F.size("prefix") > 0).select("cls", _place().alias("at"), "n", "prefix")
     bits = stored(_filter(repeated.select(F.col("cls").alias("key"))), "repeated")
-    several = _among(t, F.col("cls"), bits).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return _among(t, F.col("cls"), bits, False).unionByName(several)
+    several = _among(t, F.col("cls"), bits).groupBy("cls").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return stored(_among(t, F.col("cls"), bits, False).unionByName(several), "classes")
 
 
 def postings(firsts: DataFrame) -> DataFrame:
@@ -195,10 +200,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def similar_to_earlier(sets: DataFrame, firsts: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(x): classes whose first line has a similar line of another class before it. sets: (cls, n, prefix), firsts: (cls, at)."""
+def similar_to_earlier(sets: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x): classes whose first line has a similar line of another class before it. sets: (cls, at, n, prefix), stored."""
     q = stored(postings(sets), "lists")
-    known = stored(sets.join(q.select("cls").distinct(), "cls", "left_semi").join(firsts.select("cls", "at"), "cls").select("cls", "at", "n", "prefix"), "known")
+    bits = stored(_filter(q.select(F.col("cls").alias("key"))), "listed")
+    known = stored(_among(sets, F.col("cls"), bits).join(q.select("cls").distinct(), "cls", "left_semi"), "known")
+    discard(sets)
     member = stored(q.join(known.drop("prefix"), "cls"), "members")
     discard(q)
     y_known = known.select(F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("prefix").alias("yprefix"))
@@ -226,11 +233,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _rows(docs, id_col, text_col)
     t = stored(tokenized(rows, rarity(rows), percent), "lines")
     # equal lines: all but the first; partial minima of plain numbers before the shuffle, and only classes that matter come back to the lines
-    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    firsts = t.select("cls", "alt", place.cast("decimal(38,0)").alias("at")).groupBy("cls", "alt").agg(F.min("at").alias("at"), F.count("*").alias("c"))
+    firsts = t.select("cls", "alt", _place().alias("at")).groupBy("cls", "alt").agg(F.min("at").alias("at"), F.count("*").alias("c"))
     firsts = stored(firsts, "firsts")
-    earlier = similar_to_earlier(_one_each(t, firsts.where("c > 1")), firsts, rows, percent)
-    t = t.select("row", "pos", "cls", "alt", place.cast("decimal(38,0)").alias("place"))
+    earlier = similar_to_earlier(_one_each(t, firsts.where("c > 1")), rows, percent)
+    t = t.select("row", "pos", "cls", "alt", _place().alias("place"))
     earlier = earlier.select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     act = firsts.select("cls", "alt", "at", "c").join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole"))
     act = act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
