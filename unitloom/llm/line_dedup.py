@@ -239,7 +239,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = t.select("row", "pos", "cls", "alt", _place().alias("place"))
     earlier = earlier.select(F.col("x").alias("cls"), F.lit(True).alias("whole"))
     act = firsts.select("cls", "alt", "at", "c").join(earlier, "cls", "left").where((F.col("c") > 1) | F.col("whole"))
-    act = act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole"))
+    act = stored(act.select(F.col("cls").alias("k"), F.col("alt").alias("k2"), "at", F.coalesce("whole", F.lit(False)).alias("whole")), "act")
+    t = _among(t, F.col("cls"), stored(_filter(act.select(F.col("k").alias("key"))), "acts"))
     gone = t.join(act, (t["cls"] == act["k"]) & (t["alt"] == act["k2"])).where(F.col("whole") | (F.col("place") > F.col("at")))
     return gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
