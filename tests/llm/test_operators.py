@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import plain
 from tests.oracle import compare
-from unitloom.llm import decontamination, fingerprints, fm_index, language_id, line_dedup, ngram_join, packing, queries, secret_scan, suffix_dedup, token_records, two_stage_sort, url_filters
+from unitloom.llm import decontamination, fingerprints, fm_index, language_id, line_dedup, ngram_join, packing, queries, secret_scan, suffix_dedup, token_pieces, token_records, two_stage_sort, url_filters
 from unitloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -318,6 +318,25 @@ def test_packing(docs, rows):
         assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 2048 and s.length.sum() == s.pattern_length.iloc[0]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cached_encoding_is_the_tokenizers(name):
+    """Random strings of characters on which chunks and pieces could part."""
+    from tokenizers import Tokenizer
+
+    tok, e, r = Tokenizer.from_file(queries.tokenizer(name)), token_pieces.Encoder(queries.tokenizer(name)), np.random.default_rng(7)
+    prose = ["the", "Word", "été", "Été", "naïve", "ÀÖ", ",", ".", ", ", ". ", " ", "\n", "a"]
+    odd = [*prose, "  ", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u2028", "\u3000", "\u200b", "e\u0301", "İ", "ß", "Σ", "日本", "\U0001f600", "'s", "n't", "42", "<|", "|>", "<unk>", "_", "-", "\"", "Ġ", "\x00"]
+    for i in range(6_000):
+        text = "".join(r.choice(prose if i % 2 else odd, r.integers(0, 14)))
+        assert np.frombuffer(e.packed(text), e.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_padding_of_a_table(spark):
+    p = queries.op7_packing(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("pattern_length").alias("pattern")).toPandas()
+    padded = [2048 if n & (n - 1) else 0 for n in p.n]
+    assert (p.n == p.pattern).all() and sum(max(0, w - n) for w, n in zip(padded, p.n, strict=True)) <= 0.02 * p.n.sum() + 2048
+
+
 def test_patterns_place_every_length():
     h = {2048: 3, 1500: 10, 700: 9, 548: 4, 90: 100, 1: 5}
     got = {}
@@ -369,6 +388,17 @@ def test_url_filters(spark, limit):
     assert url_filters.filter_urls(p.limit(0), rules, limit=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_url_filters_keep_repeated_rows_and_nulls(spark, limit):
+    """A row for each input row; columns named like those that the operator adds are no hindrance."""
+    names = ["verdict", "host", "path", "rule", "key", "h0", "level", "size", "row", "mine"]
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (2, None), (None, "http://www.example.net/en/"), (None, None), (3, "http://" + "sub." * 5_000 + "org/fr/" + "x" * 50_000)]
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
+    p = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "page_id long, url string" + "".join(f", `{n}` int" for n in names))
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filters.filter_urls(p, rules, limit=limit).select("page_id", "rule", "verdict").collect()]
+    assert sorted(got, key=repr) == sorted([(i, rule_of(u)[2], rule_of(u)[3]) for i, u in rows], key=repr)
+
+
 def test_cascade_is_exact_over_many_keys(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("path"), (F.col("id") % 7 == 0).alias("mine"))
     mine, others = keys.where("mine").drop("mine"), keys.where("not mine").drop("mine")
