@@ -97,10 +97,10 @@ def _nearest_block(left: DataFrame, keys: list[str], right: DataFrame, right_key
 
 
 def bucket_hits(units: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
-    """func_id, pos, rank, bucket_id, contribution (prior x affinity), prior: every unit in its k nearest buckets."""
+    """func_id, pos, rank, bucket_id, contribution (prior x rank affinity, as one division, so that it is rounded once), prior: every unit in its k nearest buckets."""
     d = units.withColumn("prior", unit_prior(F.col("slice_kind"), F.col("slice_quality"), F.col("semantic_role"), F.col("generic_penalty")))
     near = nearest(units.select("func_id", "pos", "emb"), ["func_id", "pos"], centroids, "bucket_id", k)
-    return near.join(d.select("func_id", "pos", "prior", "slice_kind"), ["func_id", "pos"]).withColumn("c", F.col("prior") * rank_affinity(F.col("rank")))
+    return near.join(d.select("func_id", "pos", "prior", "slice_kind"), ["func_id", "pos"]).withColumn("c", F.col("prior") / F.sqrt(F.col("rank") + 1))
 
 
 def postings(hits: DataFrame) -> DataFrame:
