@@ -1,5 +1,6 @@
 """Hand-checked numbers and properties."""
 
+import itertools
 import math
 
 import pytest
@@ -69,6 +70,17 @@ def test_nearest_same_by_matrix_and_in_blocks(spark, limit):
     assert R.nearest(left, ["k"], right.limit(0), "b", 3).count() == 0 and R.nearest(left.limit(0), ["k"], right, "b", 3, limit=limit).count() == 0
 
 
+def test_support_has_the_same_bits_in_any_order_of_hits(spark):
+    """A sum next to a tie at the sixth digit: function 48 of bucket 15 at sf0.01, whose SQL sums to 0.8965624999999999 in one thread."""
+    rows = [(f, p, 15, "var_chain", c, 1.0) for f, cs in enumerate(itertools.permutations((0.07656249999999999, 0.32, 0.5))) for p, c in enumerate(cs)] + [(9, 0, 15, "cover", 0.25, 1.0)]
+    hits = spark.createDataFrame(rows, "func_id long, pos int, bucket_id int, slice_kind string, c double, prior double").coalesce(1)
+    want = {f: 0.8965624999999999 for f in range(6)} | {9: 0.25}
+    assert {r.func_id: r.support for r in R.postings(hits).collect()} == want
+    kinds = R.kind_postings(hits).collect()
+    assert {r.func_id: r.support for r in kinds} == want and {r.func_id: r.var_support for r in kinds} == want | {9: None}
+    assert all(r.cov_support is None for r in kinds)
+
+
 def test_weighted_mean_falls_back_without_weight(spark):
     u = spark.createDataFrame([(0, [1.0, 0.0], 3.0), (0, [0.0, 1.0], 1.0), (1, [1.0, 0.0], 0.0), (1, [0.0, 1.0], 0.0)], "g int, emb array<double>, w double")
     got = {r.g: [round(x, 6) for x in r.emb] for r in mean_vectors(u, ["g"], "w").collect()}

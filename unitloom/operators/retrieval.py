@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import posting_order, posting_signal, query_weight, rank_affinity, unit_prior
@@ -103,10 +103,15 @@ def bucket_hits(units: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     return near.join(d.select("func_id", "pos", "prior", "slice_kind"), ["func_id", "pos"]).withColumn("c", F.col("prior") / F.sqrt(F.col("rank") + 1))
 
 
+def ordered_sum(c: Column) -> Column:
+    """The sum of a group's values, added in ascending order, so that it has the same bits with any partitioning. Null if there is none. A group's values are held as one list."""
+    return F.aggregate(F.sort_array(F.collect_list(c)), F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, x))
+
+
 def postings(hits: DataFrame) -> DataFrame:
     """bucket_id, func_id, best, support, signal, pos: the inverted index with each list's order (from 1)."""
     buckets = hits.groupBy("func_id").agg(F.count_distinct("bucket_id").alias("buckets"))
-    p = hits.where("prior > 0").groupBy("bucket_id", "func_id").agg(F.max("c").alias("best"), F.sum("c").alias("support"))
+    p = hits.where("prior > 0").groupBy("bucket_id", "func_id").agg(F.max("c").alias("best"), ordered_sum(F.col("c")).alias("support"))
     p = p.join(buckets, "func_id").withColumn("signal", posting_signal(F.col("best"), F.col("support"), F.col("buckets")))
     order = [F.desc(F.round(posting_order(F.col("best"), F.col("support")), 9)), F.desc(F.round("best", 9)), F.desc(F.round("support", 9)), "func_id"]
     return p.withColumn("pos", F.row_number().over(Window.partitionBy("bucket_id").orderBy(*order))).drop("buckets")
@@ -118,7 +123,7 @@ def kind_postings(hits: DataFrame) -> DataFrame:
         return F.when(F.col("slice_kind") == kind, F.col("c"))
 
     return hits.where("prior > 0").groupBy("bucket_id", "func_id").agg(
-        F.max("c").alias("best"), F.sum("c").alias("support"), *[f(only(k)).alias(f"{n}_{s}") for k, n in (("var_chain", "var"), ("coverage_chain", "cov")) for f, s in ((F.max, "best"), (F.sum, "support"))]
+        F.max("c").alias("best"), ordered_sum(F.col("c")).alias("support"), *[f(only(k)).alias(f"{n}_{s}") for k, n in (("var_chain", "var"), ("coverage_chain", "cov")) for f, s in ((F.max, "best"), (ordered_sum, "support"))]
     )
 
 
