@@ -5,12 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
 from tests.oracle import compare
-from unitloom.llm import decontamination, fingerprints, fm_index, language_id, line_dedup, ngram_join, packing, queries, secret_scan, suffix_dedup, token_pieces, token_records, two_stage_sort, url_filters
+from unitloom.llm import common, decontamination, fingerprints, fm_index, language_id, line_dedup, ngram_join, packing, queries, secret_scan, suffix_dedup, token_pieces, token_records, two_stage_sort, url_filters
 from unitloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -331,6 +332,34 @@ def test_cached_encoding_is_the_tokenizers(name):
         assert np.frombuffer(e.packed(text), e.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_latin_letters_are_encoded_alone(name):
+    """Without the tokenizer around the model, and as it would; likewise with marks behind them."""
+    e, n = token_pieces.Encoder(queries.tokenizer(name)), []
+    texts = [f"{w}{m}" for w in ["étées", "naïvößÿ", *map(chr, range(0xDF, 0x100)), "mañana"] for m in ("", "#", "$$$", "ª", "'s", "1")]
+    want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(e.packed(x), e.dtype).tolist() for x in texts] == want
+    e.whole = lambda x: n.append(x) or b""
+    for x in ("çéleçaux", "ñandú"):
+        assert np.frombuffer(e.packed(x), e.dtype).tolist() == e.tok.encode(x, add_special_tokens=False).ids
+    assert n == []
+
+
+def test_packing_holds_few_texts_at_once(spark, monkeypatch):
+    def sizes(docs, *_):
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (0, 0, b.num_rows, 0, 0)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+        return docs.mapInArrow(count, packing.PIECES)
+
+    before = {k: spark.conf.get(k) for k in common.SMALL_BATCHES}
+    monkeypatch.setattr(packing, "pieces", sizes)
+    lengths = [r.length for r in packing.pack(spark.range(0, 2000, 1, 1), "").collect()]
+    assert sum(lengths) == 2000 and max(lengths) <= 500
+    assert {k: spark.conf.get(k) for k in common.SMALL_BATCHES} == before
+
+
 def test_padding_of_a_table(spark):
     p = queries.op7_packing(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("pattern_length").alias("pattern")).toPandas()
     padded = [2048 if n & (n - 1) else 0 for n in p.n]

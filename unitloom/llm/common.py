@@ -32,20 +32,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For steps over whole texts: rows that a task holds at once, in the reader and on the way to Python. Bounds memory alone, never a result.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage ends there, so that a lost executor costs no recomputation.
 
-    The shuffle files of the write have no use once it is done, and go then.
+    settings hold during the write alone. The shuffle files of the write have no use once it is done, and go then.
     """
     spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    path, settings = shared_path(spark, name), {_CLEAN: "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored_at"] = path
     return out

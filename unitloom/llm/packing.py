@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_parts, stored
+from .common import SMALL_BATCHES, n_parts, stored
 from .token_pieces import encoder
 
 SEQUENCE = 2048
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     empty table gives no rows. Columns but the two named are not read, so their names may clash with the result's.
     pattern_length is what the sequence holds before padding.
     """
-    made = stored(pieces(docs, tokenizer_path, end_id, sequence, id_col, text_col), "pieces")
+    made = stored(pieces(docs, tokenizer_path, end_id, sequence, id_col, text_col), "pieces", SMALL_BATCHES)
     # at most `sequence` rows, one for each length
     histogram = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = shortest_pack_first(histogram, sequence)
