@@ -32,17 +32,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL = "fs.file.impl"
 #: For steps over whole texts: rows that a task holds at once, in the reader and on the way to Python. Bounds memory alone, never a result.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
+def _plain_files(spark: SparkSession) -> dict[str, str]:
+    """Settings under which files on local disks are written by Hadoop's plain local file system, unless the cluster names one of its own.
+
+    The usual one starts four `chmod` processes a file where Hadoop's native library is not there, each a copy of the executor until it runs.
+    """
+    if spark._jsc.hadoopConfiguration().get(_LOCAL) or spark.conf.get(_LOCAL, None):
+        return {}
+    return {_LOCAL: "org.apache.hadoop.fs.RawLocalFileSystem", f"{_LOCAL}.disable.cache": "true"}
+
+
 def stored(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage ends there, so that a lost executor costs no recomputation.
 
     settings hold during the write alone. The shuffle files of the write have no use once it is done, and go then.
     """
     spark = df.sparkSession
-    path, settings = shared_path(spark, name), {_CLEAN: "true"} | (settings or {})
+    path, settings = shared_path(spark, name), {_CLEAN: "true"} | _plain_files(spark) | (settings or {})
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
