@@ -189,6 +189,16 @@ def test_line_dedup_of_long_lists(spark, n):
     assert {x.doc_id: set(x.gone) for x in line_dedup.dedup_lines(d).collect()} == {i: want[i] for i, _ in rows}
 
 
+def test_runs_written_out_are_the_runs_of_the_line(spark, monkeypatch):
+    """On both sides of each block's end, and beyond what is written out."""
+    monkeypatch.setattr(line_dedup, "UNROLLED", 8)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    lines = [[100 * n + i for i in range(n)] for n in range(1, 19)]
+    d = spark.createDataFrame([(h, [h[i : i + 5] for i in range(max(1, len(h) - 4))]) for h in lines], "h array<long>, runs array<array<long>>")
+    got = d.select(line_dedup._tokens("h").alias("got"), F.transform("runs", lambda r: F.xxhash64(*[F.get(r, F.lit(k)) for k in range(5)])).alias("want")).collect()
+    assert len(got) == 18 and all(r.got == r.want for r in got)
+
+
 def plain_phrases(text):
     seen, phrase = set(), b""
     for i in range(len(data := text.encode())):

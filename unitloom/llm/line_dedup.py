@@ -27,6 +27,8 @@ COUNTERS = 1 << 15
 TOKEN_BITS = 58
 #: Bits of the filter by which lines are looked up again.
 BITS = 1 << 22
+#: Runs of a line that are written out one by one, so many at a time. Any numbers give the same result.
+UNROLLED, BLOCK = 256, 32
 #: White space within lines: all of it cuts words.
 _SPACES = "\t\x0b\x0c\r"
 
@@ -75,17 +77,24 @@ def rarity(rows: DataFrame) -> Column:
     A counter's class is how far it lies above the mean, in steps of four times the deviation that chance gives it. Any classes give the same result.
     """
     h = _hashed(_lines(rows)).select("h", F.explode(_places()).alias("i"))
-    n = stored(h.select(_counter(_run("h", F.col("i"))).alias("c")).groupBy("c").agg(F.count("*").alias("n")), "rarity")
-    mean = (n.agg(F.sum("n")).first()[0] or 0) / COUNTERS
+    found = h.select(_counter(_run("h", F.col("i"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    n = {r.c: r.n for r in found.collect()}  # COUNTERS rows at most
+    mean = sum(n.values()) / COUNTERS
     step = 4 * mean**0.5 + 1
-    high = {r.c: min(31, int((r.n - mean) / step).bit_length()) for r in n.where(F.col("n") >= mean + step).collect()}  # COUNTERS rows at most
-    discard(n)
+    high = {c: min(31, int((k - mean) / step).bit_length()) for c, k in n.items() if k >= mean + step}
     return F.split(F.lit(",".join(str(high.get(i, 0) << TOKEN_BITS) for i in range(COUNTERS))), ",").cast("array<bigint>")  # folds to one literal
 
 
 def _tokens(h: str) -> Column:
-    """Hashes of all runs of words."""
-    return F.flatten(F.transform(F.array(h), lambda a: F.transform(_places(), lambda i: _run(a, i))))
+    """Hashes of all runs of words.
+
+    Lambdas are interpreted for each element, so the first UNROLLED runs are written out, which is compiled: a BLOCK of them for
+    each that the line reaches into. What a longer line has beyond them goes through a lambda.
+    """
+    run = "xxhash64(" + ", ".join(f"get({h}, {{0}} + {k})" for k in range(N)) + ")"
+    parts = [f"if({o} = 0 or size({h}) >= {o + N}, array({', '.join(run.format(i) for i in range(o, o + BLOCK))}), array())" for o in range(0, UNROLLED, BLOCK)]
+    rest = f"if(size({h}) >= {UNROLLED + N}, flatten(transform(array({h}), {h} -> transform(sequence({UNROLLED}, size({h}) - {N}), i -> {run.format('i')}))), array())"
+    return F.expr(f"slice(concat({', '.join(parts)}, {rest}), 1, greatest(1, size({h}) - {N - 1}))")
 
 
 def _counter(token: Column) -> Column:
@@ -259,7 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places, comma-joined): one row per input row."""
     gone = removed_lines(docs).withColumnRenamed("row", "grow")
-    d = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
+    d = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     d = d.join(gone, d["row"] == gone["grow"], "left")
     return d.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
