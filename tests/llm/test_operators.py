@@ -507,8 +507,8 @@ def test_empty_table(empty, name):
     assert OPERATORS[name](empty).count() == 0
 
 
-def test_stored_starts_no_process_a_file(spark, tmp_path, monkeypatch):
-    """The usual local file system writes a checksum beside each file and starts four chmod for both."""
+def test_stored_writes_no_checksum_files(spark, tmp_path, monkeypatch):
+    """The usual local file system writes a checksum file beside each, which starts a process of its own."""
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     t = common.stored(spark.range(10).repartition(3), "ten")
     assert list(tmp_path.rglob("*.parquet")) and not list(tmp_path.rglob("*.crc")) and t.count() == 10

@@ -40,7 +40,7 @@ SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.s
 def _plain_files(spark: SparkSession) -> dict[str, str]:
     """Settings under which files on local disks are written by Hadoop's plain local file system, unless the cluster names one of its own.
 
-    The usual one starts four `chmod` processes a file where Hadoop's native library is not there, each a copy of the executor until it runs.
+    Where Hadoop's native library is not there, each file and folder made starts a `chmod`, a copy of the executor until it runs; the usual one writes a checksum file beside each, with one more.
     """
     if spark._jsc.hadoopConfiguration().get(_LOCAL) or spark.conf.get(_LOCAL, None):
         return {}
